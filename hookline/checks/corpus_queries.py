@@ -349,7 +349,7 @@ def spl_70_10_20(spark, sf):
     return S.stratified_split(views.urls(spark, sf), "70_10_20", key="url_id").select("url_id", "label", "split")
 
 
-@query("spl_group")
+@query("spl_group", D.grouped_split(f"urls AS ({views.DUCK_URLS})", REGDOMAIN_SQL, "url_id"))
 def spl_group(spark, sf):
     return group_split(domains(spark, sf), "domain_group", key="url_id").select("url_id", "domain_group", "label", "split")
 

@@ -166,6 +166,38 @@ def ranked_split(source: str, scheme: str, key: str = "id") -> str:
     """.replace("src", source)
 
 
+def grouped_split(groups: str, rows: str, key: str) -> str:
+    """Group split of ``rows`` (with ``domain_group``, ``label``), placed group by group in a recursive query."""
+
+    def folds(source: str, k: int) -> str:
+        state = "[" + ", ".join(["0::HUGEINT"] * k) + "]"
+        return f"""SELECT grp, n0, n1, n, CAST(fold AS BIGINT) AS fold FROM (
+        WITH RECURSIVE g AS ({source}),
+        tot AS (SELECT sum(n0)::HUGEINT AS t0, sum(n1)::HUGEINT AS t1, sum(n) AS tn FROM g),
+        heavy AS (SELECT g.*, greatest(t1, 1) * greatest(t1, 1) AS w0, greatest(t0, 1) * greatest(t0, 1) AS w1,
+            row_number() OVER (ORDER BY abs(n0 - n1) DESC, grp) AS rn FROM g, tot WHERE n * 100 > tn),
+        place AS (SELECT 0::BIGINT AS rn, NULL::VARCHAR AS grp, -1::BIGINT AS best, {state} AS h0, {state} AS h1
+          UNION ALL
+          SELECT rn, grp, best, list_transform(range({k}), lambda i: h0[i + 1] + CASE WHEN i = best THEN n0 ELSE 0 END),
+            list_transform(range({k}), lambda i: h1[i + 1] + CASE WHEN i = best THEN n1 ELSE 0 END)
+          FROM (SELECT h.rn, h.grp, h.n0, h.n1, p.h0, p.h1, (list_sort(list_transform(range({k}), lambda i:
+                  {{'a': p.h0[i + 1] * h.n0 * h.w0 + p.h1[i + 1] * h.n1 * h.w1, 'b': p.h0[i + 1] + p.h1[i + 1], 'i': i}})))[1].i AS best
+                FROM place p JOIN heavy h ON h.rn = p.rn + 1))
+        SELECT heavy.grp, n0, n1, n, best AS fold FROM heavy JOIN place USING (grp)
+        UNION ALL
+        SELECT grp, n0, n1, n, (row_number() OVER (PARTITION BY n0, n1 ORDER BY sha256('42:' || grp), grp) - 1
+          + list_sum(list_transform([1, 2, 3, 4], lambda d: (strpos('0123456789abcdef',
+              substr(sha256('42:' || n0 || ':' || n1), d, 1)) - 1) * (16 ** (4 - d))::BIGINT))) % {k}
+        FROM g, tot WHERE n * 100 <= tn)"""
+
+    return f"""WITH {groups}, src AS ({rows}),
+    counted AS (SELECT domain_group AS grp, count_if(label = 0) AS n0, count_if(label = 1) AS n1, count(*) AS n FROM src GROUP BY 1),
+    outer_folds AS ({folds('SELECT * FROM counted', 5)}),
+    inner_folds AS ({folds('SELECT grp, n0, n1, n FROM outer_folds WHERE fold = 0', 2)})
+    SELECT src.{key}, domain_group, label, CASE WHEN o.fold <> 0 THEN 'train' WHEN i.fold = 0 THEN 'val' ELSE 'test' END AS split
+    FROM src JOIN outer_folds o ON o.grp = domain_group LEFT JOIN inner_folds i ON i.grp = domain_group"""
+
+
 CTES = {
     "urls": views.DUCK_URLS,
     "emails": views.DUCK_EMAILS,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import labels as L
 from ..functions import text as T
 from ..functions import verdict as V
+from ..operators.profile import char_entropy
 from . import duck as D
 from . import views
 from .registry import query
@@ -56,14 +57,16 @@ def lbl_name(spark, sf):
 
 @query("txt_combine", _MAIL + f"SELECT id, {D.tagged('sender', 'subject', 'body')} AS text FROM emails")
 def txt_combine(spark, sf):
+    parts = [T.clean_text(F.col(c)).alias(c) for c in ("sender", "subject", "body")]
     text = T.tagged_text(F.col("sender"), F.col("subject"), F.col("body"))
-    return views.emails(spark, sf).select("id", text.alias("text"))
+    return views.emails(spark, sf).select("id", *parts).select("id", text.alias("text"))
 
 
 @query("txt_spaphish", D.ctes("urls", "list_mails") + f"SELECT id, {D.subject_body('subject', 'body')} AS text FROM list_mails")
 def txt_spaphish(spark, sf):
+    parts = [T.clean_text(F.col(c)).alias(c) for c in ("subject", "body")]
     text = T.subject_body_text(F.col("subject"), F.col("body"))
-    return views.list_mails(spark, sf).select("id", text.alias("text"))
+    return views.list_mails(spark, sf).select("id", *parts).select("id", text.alias("text"))
 
 
 @query("txt_message", _MAIL + f"SELECT id, {D.message('subject', 'sender', 'body')} AS message FROM emails")
@@ -198,14 +201,13 @@ def num_finite(spark, sf):
     """WITH chars AS (SELECT doc_id, ch, count(*) AS c FROM (SELECT doc_id, unnest(string_split(text, '')) AS ch FROM documents)
        WHERE ch <> '' GROUP BY doc_id, ch),
     totals AS (SELECT doc_id, sum(c) AS n FROM chars GROUP BY doc_id)
-    SELECT d.doc_id, round(coalesce(e.bits, 0), 9) AS entropy FROM documents d LEFT JOIN (
+    SELECT d.doc_id, round(coalesce(e.bits, 0), 6) AS entropy FROM documents d LEFT JOIN (
       SELECT doc_id, -sum(CAST(c AS DOUBLE) / n * log2(CAST(c AS DOUBLE) / n)) AS bits
       FROM chars JOIN totals USING (doc_id) GROUP BY doc_id) e ON e.doc_id = d.doc_id""",
 )
 def txt_entropy(spark, sf):
-    return views.table(spark, sf, "documents").select(
-        "doc_id", F.round(T.char_entropy(F.col("text")), 9).alias("entropy")
-    )
+    out = char_entropy(views.table(spark, sf, "documents"), "doc_id", "text")
+    return out.withColumn("entropy", F.round("entropy", 6))
 
 
 # Filters

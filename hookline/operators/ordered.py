@@ -24,31 +24,36 @@ def _sorted_table(df: DataFrame, order: list[str], name: str) -> DataFrame:
     ).drop("_mark")
 
 
-def _before_part(table: DataFrame, sums: dict[str, Column]) -> DataFrame:
-    """Per sort partition, the sums over all partitions before it: one row per sort task, hence small."""
-    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+def _before_part(table: DataFrame, sums: dict[str, Column], by: list[str]) -> DataFrame:
+    """Per sort partition and group, the sums over the partitions before it. One row per sort task and group
+    it holds; as the table is sorted by group, that is about one row per task plus one per group."""
+    earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     return (
-        table.groupBy("_part")
+        table.groupBy("_part", *by)
         .agg(*[expr.alias(name) for name, expr in sums.items()])
-        .select("_part", *[F.coalesce(F.sum(name).over(earlier), F.lit(0)).alias(name) for name in sums])
+        .select("_part", *by, *[F.coalesce(F.sum(name).over(earlier), F.lit(0)).alias(name) for name in sums])
     )
 
 
 def sequence_id(df: DataFrame, order: list[str], out: str = "id") -> DataFrame:
     """``df`` with gap-free ids 1..n in the order of the (unique) ``order`` columns. Replaces a column ``out``."""
     table = _sorted_table(df, order, "sequence")
-    starts = _before_part(table, {"_start": F.count("*")})
+    starts = _before_part(table, {"_start": F.count("*")}, [])
     return table.join(F.broadcast(starts), "_part").select(
         (F.col("_start") + F.col("_row") + 1).alias(out), *[c for c in df.columns if c != out]
     )
 
 
-def prefix_sums(df: DataFrame, value: str, measures: list[str]) -> DataFrame:
-    """For one row per ``value``: adds ``<measure>_before``, the sum of the measure over all smaller values."""
-    table = _sorted_table(df, [value], "prefix")
-    starts = _before_part(table, {f"_{m}": F.sum(m) for m in measures})
-    inside = Window.partitionBy("_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
-    return table.join(F.broadcast(starts), "_part").select(
+def prefix_sums(df: DataFrame, value: str, measures: list[str], by: list[str] | None = None) -> DataFrame:
+    """For one row per (group and) ``value``: adds ``<measure>_before``, the sum over all smaller values.
+
+    ``by`` must have few distinct values, as the columns of a report do.
+    """
+    by = by or []
+    table = _sorted_table(df, [*by, value], "prefix")
+    starts = _before_part(table, {f"_{m}": F.sum(m) for m in measures}, by)
+    inside = Window.partitionBy("_part", *by).orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
+    return table.join(F.broadcast(starts), ["_part", *by]).select(
         *df.columns,
         *[
             (F.col(f"_{m}") + F.coalesce(F.sum(m).over(inside), F.lit(0))).alias(f"{m}_before")
@@ -57,30 +62,43 @@ def prefix_sums(df: DataFrame, value: str, measures: list[str]) -> DataFrame:
     )
 
 
-def exact_quantiles(df: DataFrame, value: str, probabilities: list[float]) -> DataFrame:
-    """One row with the exact quantiles of a column, linearly interpolated, as ``q0``, ``q1``, …
+def exact_quantiles(
+    df: DataFrame, value: str, probabilities: list[float], by: list[str] | None = None
+) -> DataFrame:
+    """The exact quantiles of a column, linearly interpolated, as ``q0``, ``q1``, …; one row, or one per group.
 
     Equal values are counted first, then placed by running counts, so no task holds the whole column. Nulls
-    and NaN are ignored; an empty column gives nulls.
+    and NaN are ignored.
     """
+    by = by or []
     number = F.col(value).cast("double")
     counted = (
         df.where(number.isNotNull() & ~F.isnan(number))
-        .groupBy((number + 0.0).alias("v"))
+        .groupBy(*by, (number + 0.0).alias("v"))
         .agg(F.count("*").alias("n"))
     )
-    placed = prefix_sums(counted, "v", ["n"])
-    total = placed.agg(F.sum("n").alias("n")).first()["n"] or 0
-
-    def value_at(index: int) -> Column:
+    placed = prefix_sums(counted, "v", ["n"], by)
+    last = (placed.groupBy(*by).agg((F.sum("n") - 1).alias("_last")))
+    if by:
+        placed = placed.join(F.broadcast(last), by)
+    else:
+        placed = placed.withColumn("_last", F.lit(last.first()["_last"]))
+
+    def value_at(index: Column) -> Column:
         holds = (F.col("n_before") <= index) & (F.col("n_before") + F.col("n") > index)
         return F.max(F.when(holds, F.col("v")))
 
-    outputs = []
+    cells = []
     for i, p in enumerate(probabilities):
-        place = p * (total - 1) if total else 0.0
-        low = int(place)
-        high = min(low + 1, max(total - 1, 0))
-        lower, upper = value_at(low), value_at(high)
-        outputs.append((lower + (upper - lower) * (place - low)).alias(f"q{i}"))
-    return placed.agg(*outputs)
+        place = F.col("_last") * F.lit(p)
+        low = F.floor(place)
+        cells += [
+            value_at(low).alias(f"_low{i}"),
+            value_at(F.least(low + 1, F.col("_last"))).alias(f"_high{i}"),
+            F.max(place - low).alias(f"_share{i}"),
+        ]
+    quantiles = [
+        (F.col(f"_low{i}") + (F.col(f"_high{i}") - F.col(f"_low{i}")) * F.col(f"_share{i}")).alias(f"q{i}")
+        for i in range(len(probabilities))
+    ]
+    return placed.groupBy(*by).agg(*cells).select(*by, *quantiles)

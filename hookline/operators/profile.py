@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import label_name
-from ..functions.text import text_length
+from ..functions.text import text_length, text_or_empty
 from .ordered import exact_quantiles
 
 # Limits and keywords of the audits.
@@ -171,19 +169,30 @@ def distinct_count(df: DataFrame, column: str, approximate: bool = False) -> Dat
 
 def describe_scores(df: DataFrame, columns: list[str]) -> DataFrame:
     """count, mean, std, min, 25 %, 50 %, 75 %, max of each column, quartiles exact; one row per column."""
+    cells = F.explode(
+        F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])
+    )
+    long = df.select(cells.alias("c")).select("c.column", "c.value")
+    moments = long.groupBy("column").agg(
+        F.count("value").alias("count"),
+        F.avg("value").alias("mean"),
+        F.stddev_samp("value").alias("std"),
+        F.min("value").alias("min"),
+        F.max("value").alias("max"),
+    )
+    quartiles = exact_quantiles(long, "value", [0.25, 0.5, 0.75], by=["column"])
+    return moments.join(quartiles, "column").select(
+        *moments.columns, F.col("q0").alias("p25"), F.col("q1").alias("p50"), F.col("q2").alias("p75")
+    )
 
-    def one(column: str) -> DataFrame:
-        moments = df.agg(
-            F.lit(column).alias("column"),
-            F.count(column).alias("count"),
-            F.avg(column).alias("mean"),
-            F.stddev_samp(column).alias("std"),
-            F.min(column).cast("double").alias("min"),
-            F.max(column).cast("double").alias("max"),
-        )
-        quartiles = exact_quantiles(df, column, [0.25, 0.5, 0.75]).select(
-            F.lit(column).alias("column"), F.col("q0").alias("p25"), F.col("q1").alias("p50"), F.col("q2").alias("p75")
-        )
-        return moments.join(quartiles, "column")
 
-    return reduce(DataFrame.unionByName, [one(c) for c in columns])
+def char_entropy(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, entropy): Shannon entropy in bits of the characters of each text, 0 for an empty one.
+
+    Characters are counted as they stream out of a text, so a task ships one row per distinct character.
+    """
+    letters = df.select(key, F.explode(F.split(text_or_empty(F.col(text)), "")).alias("ch"))
+    counts = letters.groupBy(key, "ch").agg(F.count_if(F.col("ch") != "").alias("n"))
+    total = F.sum("n")
+    bits = F.log2(total.cast("double")) - F.sum(F.when(F.col("n") > 0, F.col("n") * F.log2(F.col("n").cast("double")))) / total
+    return counts.groupBy(key).agg(F.when(total > 0, bits).otherwise(F.lit(0.0)).alias("entropy"))

@@ -89,8 +89,9 @@ def _gram_times(rows: DataFrame, block: np.ndarray) -> np.ndarray:
     parts = rows.select("indices", "weights").mapInPandas(add_up, "idx int, part array<double>")
     summed = parts.groupBy("idx").agg(Summarizer.sum(array_to_vector("part")).alias("s"))
     out = np.zeros_like(block)
-    for r in summed.select("idx", vector_to_array("s").alias("s")).toLocalIterator():
-        out[r["idx"]] = r["s"]
+    sums = summed.select("idx", vector_to_array("s").alias("s")).toPandas()
+    if len(sums):
+        out[sums["idx"].to_numpy()] = np.stack(sums["s"].to_numpy())
     shared.unpersist()
     return out
 

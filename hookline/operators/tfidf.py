@@ -19,9 +19,13 @@ MAX_FEATURES = 100_000
 BROADCAST_VOCABULARY = 500_000
 
 
-def char_ngrams(c: Column, ngram_range: tuple[int, int] = NGRAM_RANGE) -> Column:
-    """All character n-grams of the lowered text with repeats; runs of whitespace count as one blank."""
-    text = F.regexp_replace(F.lower(text_or_empty(c)), rf"[{WS_CLASS}]{{2,}}", " ")
+def ngram_text(c: Column) -> Column:
+    """The text n-grams are taken from: lower case, runs of whitespace as one blank."""
+    return F.regexp_replace(F.lower(text_or_empty(c)), f"[{WS_CLASS}]{{2,}}", " ")
+
+
+def char_ngrams(text: Column, ngram_range: tuple[int, int] = NGRAM_RANGE) -> Column:
+    """All character n-grams of a column, with repeats. Pass a plain column: it is read once for every n-gram."""
     length = F.length(text)
 
     def of_size(n: int) -> Column:
@@ -36,10 +40,12 @@ def gram_counts(df: DataFrame, key: str, text: str, ngram_range: tuple[int, int]
     """(key, gram, tf). A text without n-grams keeps one row with a null gram.
 
     The short texts are distributed by key once; their many n-grams are then counted where they are, since
-    grouping by (key, gram) needs nothing more than a distribution by key.
+    grouping by (key, gram) needs nothing more than a distribution by key. The number of tasks is given, or the
+    short texts would be packed into few tasks although each grows a hundredfold.
     """
-    placed = df.select(F.col(key), F.col(text)).repartition(key)
-    grams = placed.select(key, F.explode_outer(char_ngrams(F.col(text), ngram_range)).alias("gram"))
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.select(F.col(key), ngram_text(F.col(text)).alias("_text")).repartition(tasks, key)
+    grams = placed.select(key, F.explode_outer(char_ngrams(F.col("_text"), ngram_range)).alias("gram"))
     return grams.groupBy(key, "gram").agg(F.count("gram").alias("tf"))
 
 
@@ -69,12 +75,14 @@ class TfidfModel:
                 F.struct("idx", ((F.ln("tf") + 1.0) * F.col("idf")).alias("w")),
             ).alias("cell"),
         )
-        rows = weighted.groupBy(key).agg(F.array_sort(F.collect_list("cell")).alias("cells"))
-        norm = F.sqrt(F.aggregate("cells", F.lit(0.0), lambda acc, c: acc + c["w"] * c["w"]))
-        return rows.withColumn("_norm", norm).select(
+        rows = weighted.groupBy(key).agg(
+            F.array_sort(F.collect_list("cell")).alias("cells"),
+            F.sqrt(F.sum(F.col("cell.w") * F.col("cell.w"))).alias("norm"),
+        )
+        return rows.select(
             key,
             F.transform("cells", lambda c: c["idx"]).alias("indices"),
-            F.transform("cells", lambda c: c["w"] / F.col("_norm")).alias("weights"),
+            F.transform("cells", lambda c: c["w"] / F.col("norm")).alias("weights"),
         )
 
     def long_form(self, df: DataFrame, key: str, text: str) -> DataFrame:

@@ -35,14 +35,17 @@ def as_messages(emails: DataFrame, key: str) -> DataFrame:
 def score_emails(emails: DataFrame, models: EmailModels, key: str = "id") -> DataFrame:
     """(key, response fields) of e-mails with a unique key.
 
-    Both models run where the rows are. What is shuffled is one number per e-mail from the URL side, and the
-    key, text probability and URL list from the text side; message bodies stay in their tasks.
+    One pass: both models run where the rows are, and the URL rows of an e-mail, which lie side by side, are
+    reduced before the only shuffle. That carries the key, two scores and the URL list; message bodies stay in
+    their tasks.
     """
-    messages = as_messages(emails, key)
-    scored_text = score_text(models.text, messages, "message").drop("message")
-    per_url = score_urls(models.url, explode_urls(messages, key).where(F.col("url").isNotNull()))
-    scored = join_scores(scored_text, max_url_score(per_url, key), key)
-    response = score_response(F.col("text_probability"), F.col("url_probability"), F.col("urls"))
+    scored_text = score_text(models.text, as_messages(emails, key), "message").drop("message")
+    per_url = score_urls(models.url, scored_text.withColumn("url", F.explode_outer("urls")))
+    scored = per_url.groupBy(key).agg(
+        F.coalesce(F.max("probability"), F.lit(0.0)).alias("url_probability"),
+        F.any_value(F.struct("text_probability", "urls")).alias("mail"),
+    )
+    response = score_response(F.col("mail.text_probability"), F.col("url_probability"), F.col("mail.urls"))
     return scored.select(key, response.alias("response")).select(key, "response.*")
 
 

@@ -31,35 +31,31 @@ def _column(df: DataFrame, name: str | None, what: str) -> Column:
 
 def prepare_email(raw: DataFrame, key: str, source: Column) -> DataFrame:
     """(key, source, subject, sender, body, url, text, label) of a mail table; rows without a usable label go."""
-    subject, sender, body = (optional(raw, c) for c in ("subject", "sender", "body"))
     label = _column(raw, first_by_priority(raw, ["label"]), "label")
-    return raw.select(
+    cleaned = raw.select(
         F.col(key),
         source.alias("source"),
-        clean_text(subject).alias("subject"),
-        clean_text(sender).alias("sender"),
-        clean_text(body).alias("body"),
+        *[clean_text(optional(raw, c)).alias(c) for c in ("subject", "sender", "body")],
         clean_text(optional(raw, "urls")).alias("url"),
-        tagged_text(sender, subject, body).alias("text"),
         label_from_text(label).alias("label"),
     ).dropna(subset=["label"])
+    text = tagged_text(F.col("sender"), F.col("subject"), F.col("body"))
+    return cleaned.select(key, "source", "subject", "sender", "body", "url", text.alias("text"), "label")
 
 
 def prepare_list_mail(raw: DataFrame, key: str, source: str = "SpaPhish") -> DataFrame:
     """(key, source, subject, body, url, text, label) of a mail table whose URLs sit in a list-like column."""
-    subject, body = optional(raw, "subject"), optional(raw, "body")
     label = _column(raw, first_in_table(raw, ANY_LABEL), "label")
-    rows = raw.select(
+    cleaned = raw.select(
         F.col(key),
         F.lit(source).alias("source"),
-        clean_text(subject).alias("subject"),
-        clean_text(body).alias("body"),
+        *[clean_text(optional(raw, c)).alias(c) for c in ("subject", "body")],
         clean_text(optional(raw, "urls")).alias("url"),
-        subject_body_text(subject, body).alias("text"),
         label_from_text(label).alias("label"),
-    )
-    rows = rows.dropna(subset=["label"]).where(has_text(F.col("text")))
-    return distinct_text_label(rows, [key])
+    ).dropna(subset=["label"])
+    text = subject_body_text(F.col("subject"), F.col("body"))
+    rows = cleaned.select(key, "source", "subject", "body", "url", text.alias("text"), "label")
+    return distinct_text_label(rows, [key]).where(has_text(F.col("text")))
 
 
 def prepare_short_text(raw: DataFrame, key: str, source: str = "ShortText") -> DataFrame:
@@ -75,8 +71,7 @@ def prepare_short_text(raw: DataFrame, key: str, source: str = "ShortText") -> D
         (strip_text(F.col(f"`{kind}`")) if kind else F.lit("")).alias("source_type"),
         label_from_text(label).alias("label"),
     )
-    rows = rows.dropna(subset=["label"]).where(has_text(F.col("text")))
-    return distinct_text_label(rows, [key])
+    return distinct_text_label(rows.dropna(subset=["label"]), [key]).where(has_text(F.col("text")))
 
 
 def stack_sources(parts: list[DataFrame], key: str) -> DataFrame:
@@ -94,14 +89,19 @@ def stack_sources(parts: list[DataFrame], key: str) -> DataFrame:
     return union_sources(frames)
 
 
-def usable_rows(stacked: DataFrame) -> DataFrame:
-    """Rows with label 0 or 1 and a non-empty text."""
-    return stacked.where(F.col("label").isin(0, 1) & has_text(F.col("text")))
+def first_messages(stacked: DataFrame, key: str) -> DataFrame:
+    """The first row of each message among those with label 0 or 1; empty messages go.
+
+    Empty messages share one hash, so they are dropped after the copies, as one row. A test before would be
+    pushed below the cleaning of the texts and clean each of them twice.
+    """
+    first = distinct_messages(stacked.where(F.col("label").isin(0, 1)), ["priority", key])
+    return first.where(has_text(F.col("text")))
 
 
 def build_text_dataset(parts: list[DataFrame], key: str) -> DataFrame:
     """(id, source, text, label): sources stacked, filtered, one row per message, numbered in source order."""
-    first = distinct_messages(usable_rows(stack_sources(parts, key)), ["priority", key])
+    first = first_messages(stack_sources(parts, key), key)
     return sequence_id(first, ["priority", key]).select("id", "source", "text", "label")
 
 

@@ -42,7 +42,7 @@ def first_by_priority(df: DataFrame, aliases: list[str]) -> str | None:
 
 def optional(df: DataFrame, name: str, default: Column | None = None) -> Column:
     """Column by name in any case, or ``default`` (empty text) when the table does not have it."""
-    column = _lowered(df).get(name)
+    column = _lowered(df).get(name.lower())
     if column is not None:
         return F.col(f"`{column}`")
     return F.lit("") if default is None else default

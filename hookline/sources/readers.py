@@ -20,13 +20,9 @@ def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFra
     Bodies hold line breaks, so a quoted field may span lines. Such a file is read by one task: large corpora
     should come in many files, or with ``multi_line=False`` when no field spans lines.
     """
-    df = (
-        spark.read.option("header", True)
-        .option("multiLine", multi_line)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("mode", "PERMISSIVE")
-        .csv(path)
+    df = spark.read.csv(
+        path, header=True, multiLine=multi_line, quote='"', escape='"', mode="PERMISSIVE",
+        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
     )
     return clean_headers(df)
 

@@ -10,7 +10,9 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Replaces the table at ``path``. CSV gets a header and quoting that ``read_csv`` reads back."""
     writer = df.write.mode("overwrite")
     if fmt == "csv":
-        writer.option("header", True).option("quote", '"').option("escape", '"').csv(path)
+        writer.options(
+            header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+        ).csv(path)
     else:
         writer.format(fmt).save(path)
 
