@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..functions.text import text_hash
@@ -89,12 +91,20 @@ def src_prune(spark, sf):
     return views.urls(spark, sf).select("url", "label")
 
 
-@query("src_guard")
+@query(
+    "src_guard",
+    D.ctes("emails") + "SELECT unnest(['first', 'second', 'third_Vectorized', 'unlabelled', 'missing']) AS file, "
+    "unnest([n, n, n, 0, 0]) AS usable_rows FROM (SELECT count(*) AS n FROM emails)",
+)
 def src_guard(spark, sf):
-    """One row per file of the folder: was it usable?"""
-    base, paths = _curated_folder(spark, sf)
-    rows = [(readers.file_stem(p), readers.read_csv_or_none(spark, p) is not None) for p in paths]
-    return spark.createDataFrame(rows, "file string, usable boolean")
+    """Usable rows of each file; none when it cannot be read or has no label column."""
+    _, paths = _curated_folder(spark, sf)
+    counts = []
+    for path in paths:
+        df = readers.read_csv_or_none(spark, path)
+        rows = spark.range(0) if df is None else df
+        counts.append(rows.agg(F.lit(readers.file_stem(path)).alias("file"), F.count("*").alias("usable_rows")))
+    return reduce(lambda a, b: a.unionByName(b), counts)
 
 
 @query("src_required", D.ctes("emails", "prepared") + "SELECT id, source, text, label FROM prepared")
@@ -143,11 +153,16 @@ def src_optional(spark, sf):
     )
 
 
-@query("src_audit")
+@query(
+    "src_audit",
+    D.ctes("emails") + """SELECT 'first' AS file, count(*) AS n_rows, 4::BIGINT AS n_columns, 'id,subject,body,label' AS column_names,
+      CAST(count_if(subject = '') + count_if(body = '') AS BIGINT) AS n_null FROM emails
+    UNION ALL SELECT 'second', count(*), 3, 'label,sender,id', 0 FROM emails
+    UNION ALL SELECT 'third_Vectorized', count(*), 2, 'id,label', 0 FROM emails
+    UNION ALL SELECT 'unlabelled', count(*), 2, 'id,body', CAST(count_if(body = '') AS BIGINT) FROM emails""",
+)
 def src_audit(spark, sf):
     """Shape and missing values of every file below the raw folder."""
-    from functools import reduce
-
     from ..operators.profile import null_counts, shape
 
     base, paths = _curated_folder(spark, sf)

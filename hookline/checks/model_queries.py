@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.url_features import URL_FEATURES
@@ -21,6 +24,7 @@ from ..streaming import jobs
 from . import duck as D
 from . import views
 from .corpus_queries import text_parts, text_splits, url_splits
+from .profile_queries import fused
 from .registry import query
 
 # Sizes for trial runs; the library's defaults are the full ones.
@@ -168,33 +172,41 @@ def svd_explained(spark, sf):
     return SV.explained_variance(weights, _svd(spark, sf).transform(weights))
 
 
-@query("jn_hstack")
+@query("jn_hstack", D.ctes("urls") + f"SELECT url_id, label, {25 + COMPONENTS} AS n_features FROM urls")
 def jn_hstack(spark, sf):
     rows = UM.plus_features(views.urls(spark, sf), _tfidf(spark, sf), _svd(spark, sf), "url_id", keep=["label"])
-    from pyspark.ml.functions import vector_to_array
-
     return rows.select("url_id", "label", F.size(vector_to_array("features")).alias("n_features"))
 
 
-@query("vec_assemble")
-def vec_assemble(spark, sf):
-    from pyspark.ml.functions import vector_to_array
+_FEATURE_ROWS = ", ".join(f'CAST("{c}" AS DOUBLE)' for c in URL_FEATURES)
+
 
+@query(
+    "vec_assemble",
+    D.ctes("urls", "canon", "parts", "features")
+    + f"SELECT url_id, unnest(range(25)) AS pos, unnest([{_FEATURE_ROWS}]) AS value FROM features",
+)
+def vec_assemble(spark, sf):
+    """The vectors as (url_id, pos, value)."""
     table = U.url_feature_table(views.urls(spark, sf), "url_id")
-    return UM.assemble(table).select("url_id", vector_to_array("features").alias("features"))
+    cells = F.posexplode(vector_to_array("features")).alias("pos", "value")
+    return UM.assemble(table).select("url_id", cells).withColumn("pos", F.col("pos").cast("bigint"))
 
 
-@query("vec_scale")
+@query(
+    "vec_scale",
+    D.ctes("emails", "scored") + "SELECT id, " + ", ".join(
+        f"round(({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER (), 8) AS {c}" for c in FM.FUSION_FEATURES
+    ) + " FROM scored",
+)
 def vec_scale(spark, sf):
-    from pyspark.ml import Pipeline
-    from pyspark.ml.functions import vector_to_array
+    rows = fused(spark, sf).select("id", *FM.FUSION_FEATURES)
+    scaled = Pipeline(stages=FM.scaling_stages(rows.count())).fit(rows).transform(rows)
+    values = vector_to_array("features")
+    return scaled.select("id", *[F.round(values[i], 8).alias(c) for i, c in enumerate(FM.FUSION_FEATURES)])
 
-    rows = _multimodal(spark, sf)
-    scaler = Pipeline(stages=FM.scaling_stages(rows.count())).fit(rows)
-    return scaler.transform(rows).select("id", vector_to_array("features").alias("features"))
 
-
-@query("snk_matrix")
+@query("snk_matrix", D.ctes("urls") + f"SELECT url_id, {COMPONENTS} AS components, label FROM urls")
 def snk_matrix(spark, sf):
     path = scratch_path(spark, "matrix")
     model = _tfidf(spark, sf)
@@ -240,8 +252,6 @@ def mdl_importance(spark, sf):
 
 @query("srt_importance")
 def srt_importance(spark, sf):
-    from pyspark.sql import Window
-
     place = F.row_number().over(Window.orderBy(F.desc("importance"), "feature"))
     return UM.feature_importance(_url_model(spark, sf), spark).withColumn("place", place)
 

@@ -39,11 +39,13 @@ def score_emails(emails: DataFrame, models: EmailModels, key: str = "id") -> Dat
     reduced before the only shuffle. That carries the key, two scores and the URL list; message bodies stay in
     their tasks.
     """
-    scored_text = score_text(models.text, as_messages(emails, key), "message").drop("message")
-    per_url = score_urls(models.url, scored_text.withColumn("url", F.explode_outer("urls")))
-    scored = per_url.groupBy(key).agg(
+    scored_text = score_text(models.text, as_messages(emails, key), "message")
+    rows = scored_text.select(key, "text_probability", "urls", F.posexplode_outer("urls").alias("pos", "url"))
+    # Only the first row of an e-mail carries its list, or a mail with many URLs would grow by their square.
+    mail = F.when(F.coalesce("pos", F.lit(0)) == 0, F.struct("text_probability", "urls")).alias("mail")
+    scored = score_urls(models.url, rows.select(key, "url", mail)).groupBy(key).agg(
         F.coalesce(F.max("probability"), F.lit(0.0)).alias("url_probability"),
-        F.any_value(F.struct("text_probability", "urls")).alias("mail"),
+        F.any_value("mail", ignoreNulls=True).alias("mail"),
     )
     response = score_response(F.col("mail.text_probability"), F.col("url_probability"), F.col("mail.urls"))
     return scored.select(key, response.alias("response")).select(key, "response.*")
@@ -63,18 +65,25 @@ def score_distinct_urls(exploded: DataFrame, model: UrlPlusModel, key: str) -> D
     return lookup_join(exploded, scored, key="url", row_id=key, count="n", total=total)
 
 
+def _score_table(
+    rows: DataFrame, mode: str, url_column: str, text_model: PipelineModel, url_model: UrlPlusModel, key: str, text: str, keep: list[str]
+) -> DataFrame:
+    """Text score and URL list of each row are written once, without the texts; all URL work reads that table."""
+    listed = rows.withColumn("_urls", extract_urls(F.col(url_column), mode))
+    scored = score_text(text_model, listed, text).select(key, *keep, "text_probability", F.col("_urls").alias("urls"))
+    scored = materialize(scored, "text-scores")
+    if mode == "list" and scored.where(F.size("urls") > 0).isEmpty():
+        raise ValueError("no URL in the whole table")
+    per_url = score_distinct_urls(explode_urls(scored, key), url_model, key)
+    joined = join_scores(scored.withColumn("url_count", F.size("urls")), max_url_score(per_url, key), key)
+    return joined.select(key, *keep, "text_probability", "url_probability", "url_count")
+
+
 def score_splits(
     dataset: DataFrame, text_model: PipelineModel, url_model: UrlPlusModel, key: str = "id", text: str = "text"
 ) -> DataFrame:
     """(key, source, split, label, text_probability, url_probability, url_count) of whole splits in one job."""
-    with_urls = dataset.withColumn("urls", extract_urls(F.col(text), "text"))
-    scored_text = score_text(text_model, with_urls, text).select(
-        key, "source", "split", "label", "text_probability", F.size("urls").alias("url_count")
-    )
-    per_url = score_distinct_urls(explode_urls(with_urls, key), url_model, key)
-    return join_scores(scored_text, max_url_score(per_url, key), key).select(
-        key, "source", "split", "label", "text_probability", "url_probability", "url_count"
-    )
+    return _score_table(dataset, "text", text, text_model, url_model, key, text, ["source", "split", "label"])
 
 
 def score_listed_urls(
@@ -87,13 +96,4 @@ def score_listed_urls(
 ) -> DataFrame:
     """(key, label, text_probability, url_probability, url_count) of mails whose URLs sit in a list-like column.
     A table without any URL is an error."""
-    with_urls = mails.withColumn("urls", extract_urls(F.col(urls), "list"))
-    if with_urls.where(F.size("urls") > 0).isEmpty():
-        raise ValueError("no URL in the whole table")
-    scored_text = score_text(text_model, with_urls, text).select(
-        key, "label", "text_probability", F.size("urls").alias("url_count")
-    )
-    per_url = score_distinct_urls(explode_urls(with_urls, key), url_model, key)
-    return join_scores(scored_text, max_url_score(per_url, key), key).select(
-        key, "label", "text_probability", "url_probability", "url_count"
-    )
+    return _score_table(mails, "list", urls, text_model, url_model, key, text, ["label"])
