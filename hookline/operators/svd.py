@@ -7,8 +7,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,33 +64,42 @@ class SvdModel:
 def _gram_times(rows: DataFrame, block: np.ndarray) -> np.ndarray:
     """A'A times a dense block, for the sparse rows A.
 
-    A task adds up its own rows and hands on one row per term it has met; those are summed per term. Only the
-    sum, as large as the block, reaches the driver.
+    A task adds up its own rows and hands on one row per term it has met. These are distributed by term and
+    added up as they stream in, so a task never holds more than one block. Only the sum reaches the driver.
     """
-    shared = rows.sparkSession.sparkContext.broadcast(block)
+    spark = rows.sparkSession
+    shared = spark.sparkContext.broadcast(block)
+    shape = block.shape
+    schema = "idx int, part array<double>"
 
-    def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        q = shared.value
-        total = np.zeros_like(q)
-        met = np.zeros(len(q), dtype=bool)
+    def emit(total: np.ndarray, met: np.ndarray) -> Iterator[pd.DataFrame]:
+        terms = np.flatnonzero(met)
+        for start in range(0, len(terms), 4096):
+            some = terms[start : start + 4096]
+            yield pd.DataFrame({"idx": some.astype(np.int32), "part": list(total[some])})
+
+    def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        q, total, met = shared.value, np.zeros(shape), np.zeros(shape[0], dtype=bool)
         for batch in batches:
             for i, w in zip(batch["indices"], batch["weights"]):
-                i, w = np.asarray(i, dtype=np.int64), np.asarray(w, dtype=np.float64)
                 if len(i):
                     total[i] += np.outer(w, w @ q[i])
                     met[i] = True
-        terms = np.flatnonzero(met)
-        for start in range(0, len(terms), 4096):
-            part = terms[start : start + 4096]
-            yield pd.DataFrame({"idx": part.astype(np.int32), "part": list(total[part])})
+        yield from emit(total, met)
 
-    parts = rows.select("indices", "weights").mapInPandas(add_up, "idx int, part array<double>")
-    summed = parts.groupBy("idx").agg(Summarizer.sum(array_to_vector("part")).alias("s"))
-    out = np.zeros_like(block)
-    sums = summed.select("idx", vector_to_array("s").alias("s")).toPandas()
-    if len(sums):
-        out[sums["idx"].to_numpy()] = np.stack(sums["s"].to_numpy())
+    def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, met = np.zeros(shape), np.zeros(shape[0], dtype=bool)
+        for batch in batches:
+            np.add.at(total, batch["idx"].to_numpy(), np.stack(batch["part"].to_numpy()))
+            met[batch["idx"].to_numpy()] = True
+        yield from emit(total, met)
+
+    parts = rows.select("indices", "weights").mapInPandas(multiply, schema)
+    sums = parts.repartition("idx").mapInPandas(add_up, schema).toPandas()
     shared.unpersist()
+    out = np.zeros(shape)
+    if len(sums):
+        out[sums["idx"].to_numpy()] = np.stack(sums["part"].to_numpy())
     return out
 
 
