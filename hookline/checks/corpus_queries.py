@@ -156,10 +156,10 @@ def src_optional(spark, sf):
 @query(
     "src_audit",
     D.ctes("emails") + """SELECT 'first' AS file, count(*) AS n_rows, 4::BIGINT AS n_columns, 'id,subject,body,label' AS column_names,
-      CAST(count_if(subject = '') + count_if(body = '') AS BIGINT) AS n_null FROM emails
+      CAST(count(*) FILTER (WHERE subject = '') + count(*) FILTER (WHERE body = '') AS BIGINT) AS n_null FROM emails
     UNION ALL SELECT 'second', count(*), 3, 'label,sender,id', 0 FROM emails
     UNION ALL SELECT 'third_Vectorized', count(*), 2, 'id,label', 0 FROM emails
-    UNION ALL SELECT 'unlabelled', count(*), 2, 'id,body', CAST(count_if(body = '') AS BIGINT) FROM emails""",
+    UNION ALL SELECT 'unlabelled', count(*), 2, 'id,body', CAST(count(*) FILTER (WHERE body = '') AS BIGINT) FROM emails""",
 )
 def src_audit(spark, sf):
     """Shape and missing values of every file below the raw folder."""
@@ -371,7 +371,7 @@ def spl_group(spark, sf):
 
 @query(
     "spl_sample_class",
-    D.ctes("emails", "prepared") + """SELECT id, label, row_number() OVER (ORDER BY h) AS position FROM (
+    D.ctes("emails", "prepared") + """SELECT id, label, CAST(row_number() OVER (ORDER BY h) AS INTEGER) AS position FROM (
       SELECT id, label, h, row_number() OVER (PARTITION BY label ORDER BY h) AS rn FROM (
         SELECT id, label, sha256('1111122222:' || id) AS h FROM prepared)) WHERE rn <= 10""",
 )
@@ -415,7 +415,7 @@ def agg_vec_dups(spark, sf):
     return label_conflicts(U.url_feature_table(views.urls(spark, sf), "url_id"), URL_FEATURES).drop("conflicting_keys")
 
 
-@query("agg_vec_conflicts", _VECTORS + f"SELECT count_if(labels > 1) AS conflicting_keys FROM {_VECTOR_GROUPS}")
+@query("agg_vec_conflicts", _VECTORS + f"SELECT count(*) FILTER (WHERE labels > 1) AS conflicting_keys FROM {_VECTOR_GROUPS}")
 def agg_vec_conflicts(spark, sf):
     return label_conflicts(U.url_feature_table(views.urls(spark, sf), "url_id"), URL_FEATURES).select("conflicting_keys")
 
@@ -435,7 +435,7 @@ def agg_distinct_urls(spark, sf):
 
 @query(
     "agg_url_conflicts",
-    _REP + "SELECT count_if(n > 1) AS conflicting_keys FROM (SELECT count(DISTINCT label) AS n FROM repeated GROUP BY url)",
+    _REP + "SELECT count(*) FILTER (WHERE n > 1) AS conflicting_keys FROM (SELECT count(DISTINCT label) AS n FROM repeated GROUP BY url)",
 )
 def agg_url_conflicts(spark, sf):
     return label_conflicts(_repeated_urls(spark, sf), ["URL"]).select("conflicting_keys")

@@ -191,7 +191,7 @@ def grouped_split(groups: str, rows: str, key: str) -> str:
         FROM g, tot WHERE n * 100 <= tn)"""
 
     return f"""WITH {groups}, src AS ({rows}),
-    counted AS (SELECT domain_group AS grp, count_if(label = 0) AS n0, count_if(label = 1) AS n1, count(*) AS n FROM src GROUP BY 1),
+    counted AS (SELECT domain_group AS grp, count(*) FILTER (WHERE label = 0) AS n0, count(*) FILTER (WHERE label = 1) AS n1, count(*) AS n FROM src GROUP BY 1),
     outer_folds AS ({folds('SELECT * FROM counted', 5)}),
     inner_folds AS ({folds('SELECT grp, n0, n1, n FROM outer_folds WHERE fold = 0', 2)})
     SELECT src.{key}, domain_group, label, CASE WHEN o.fold <> 0 THEN 'train' WHEN i.fold = 0 THEN 'val' ELSE 'test' END AS split

@@ -49,7 +49,7 @@ def agg_class_pct(spark, sf):
 
 @query(
     "agg_crosstab",
-    D.ctes("emails", "prepared") + "SELECT source, count_if(label = 0) AS legitimate, count_if(label = 1) AS phishing FROM prepared GROUP BY source",
+    D.ctes("emails", "prepared") + "SELECT source, count(*) FILTER (WHERE label = 0) AS legitimate, count(*) FILTER (WHERE label = 1) AS phishing FROM prepared GROUP BY source",
 )
 def agg_crosstab(spark, sf):
     mails = views.emails(spark, sf).withColumn("label", label_from_text(F.col("label")))
@@ -62,8 +62,8 @@ _JOINED = "documents d LEFT JOIN labels l USING (doc_id)"
 @query(
     "agg_null_counts",
     f"""SELECT "column", n_null FROM (SELECT unnest(['doc_id', 'text', 'lang', 'source', 'quality', 'toxic']) AS "column",
-      unnest([count_if(doc_id IS NULL), count_if(text IS NULL), count_if(lang IS NULL), count_if(source IS NULL),
-      count_if(quality IS NULL), count_if(toxic IS NULL)]) AS n_null FROM {_JOINED}) WHERE n_null > 0""",
+      unnest([count(*) FILTER (WHERE doc_id IS NULL), count(*) FILTER (WHERE text IS NULL), count(*) FILTER (WHERE lang IS NULL), count(*) FILTER (WHERE source IS NULL),
+      count(*) FILTER (WHERE quality IS NULL), count(*) FILTER (WHERE toxic IS NULL)]) AS n_null FROM {_JOINED}) WHERE n_null > 0""",
 )
 def agg_null_counts(spark, sf):
     docs = views.table(spark, sf, "documents").drop("n_chars")
@@ -99,7 +99,7 @@ def agg_preview(spark, sf):
 @query(
     "agg_len_stats",
     "SELECT source, min(len) AS min_len, max(len) AS max_len, round(avg(len), 9) AS mean_len, round(median(len), 9) AS median_len, "
-    f"count_if(len = 0) AS n_empty, count_if(len < 20) AS n_below_20 FROM {_LENS} GROUP BY source",
+    f"count(*) FILTER (WHERE len = 0) AS n_empty, count(*) FILTER (WHERE len < 20) AS n_below_20 FROM {_LENS} GROUP BY source",
 )
 def agg_len_stats(spark, sf):
     out = P.length_stats(views.table(spark, sf, "documents"), by=["source"])
@@ -122,7 +122,7 @@ _BUCKETS = [f"('> {x}', len > {x})" for x in P.LONG_LIMITS] + [f"('< {x}', len <
 @query(
     "agg_len_buckets",
     " UNION ALL ".join(
-        f"SELECT '{sign} {x}' AS bucket, count_if(len {sign} {x}) AS n, count_if(len {sign} {x}) * CAST(100 AS DOUBLE) / count(*) AS pct FROM {_LENS}"
+        f"SELECT '{sign} {x}' AS bucket, count(*) FILTER (WHERE len {sign} {x}) AS n, count(*) FILTER (WHERE len {sign} {x}) * CAST(100 AS DOUBLE) / count(*) AS pct FROM {_LENS}"
         for sign, limits in ((">", P.LONG_LIMITS), ("<", P.SHORT_LIMITS))
         for x in limits
     ),
@@ -133,7 +133,7 @@ def agg_len_buckets(spark, sf):
 
 @query(
     "agg_domain_stats",
-    D.ctes("urls") + "SELECT count(*) AS rows, count_if(domain_group = '') AS empty_domains, count(DISTINCT domain_group) AS distinct_domains "
+    D.ctes("urls") + "SELECT count(*) AS rows, count(*) FILTER (WHERE domain_group = '') AS empty_domains, count(DISTINCT domain_group) AS distinct_domains "
     f"FROM ({REGDOMAIN_SQL})",
 )
 def agg_domain_stats(spark, sf):
@@ -245,8 +245,8 @@ def agg_describe(spark, sf):
 
 
 _CELLS = (
-    "count_if(label = 0 AND predicted = 0) AS tn, count_if(label = 0 AND predicted = 1) AS fp, "
-    "count_if(label = 1 AND predicted = 0) AS fn, count_if(label = 1 AND predicted = 1) AS tp"
+    "count(*) FILTER (WHERE label = 0 AND predicted = 0) AS tn, count(*) FILTER (WHERE label = 0 AND predicted = 1) AS fp, "
+    "count(*) FILTER (WHERE label = 1 AND predicted = 0) AS fn, count(*) FILTER (WHERE label = 1 AND predicted = 1) AS tp"
 )
 
 
@@ -275,7 +275,7 @@ def ev_binary(spark, sf):
     "ev_auc",
     _JUDGED + """SELECT round(CAST(sum(pos * (2 * before + neg)) AS DOUBLE) / 2 / (CAST(sum(pos) AS DOUBLE) * sum(neg)), 9) AS roc_auc FROM (
       SELECT score, pos, neg, coalesce(sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-      FROM (SELECT score, count_if(label = 1) AS pos, count_if(label = 0) AS neg FROM judged GROUP BY score))""",
+      FROM (SELECT score, count(*) FILTER (WHERE label = 1) AS pos, count(*) FILTER (WHERE label = 0) AS neg FROM judged GROUP BY score))""",
 )
 def ev_auc(spark, sf):
     return M.roc_auc(judged(spark, sf)).select(F.round("roc_auc", 9).alias("roc_auc"))
@@ -326,9 +326,9 @@ def srt_topk(spark, sf):
 
 @query(
     "audit_split_quality",
-    _SPLITS + """SELECT split, count(*) AS rows, count_if(id IS NULL OR source IS NULL OR text IS NULL OR label IS NULL) AS n_incomplete,
+    _SPLITS + """SELECT split, count(*) AS rows, count(*) FILTER (WHERE id IS NULL OR source IS NULL OR text IS NULL OR label IS NULL) AS n_incomplete,
       min(length(text)) AS min_len, max(length(text)) AS max_len, round(avg(length(text)), 9) AS mean_len, round(median(length(text)), 9) AS median_len,
-      count_if(length(text) = 0) AS n_empty, count_if(length(text) < 20) AS n_below_20 FROM text_splits GROUP BY split""",
+      count(*) FILTER (WHERE length(text) = 0) AS n_empty, count(*) FILTER (WHERE length(text) < 20) AS n_below_20 FROM text_splits GROUP BY split""",
 )
 def audit_split_quality(spark, sf):
     rows = text_splits(spark, sf)

@@ -144,8 +144,8 @@ def txt_verdict_test(spark, sf):
 @query(
     "ev_verdict",
     _MAIL.rstrip() + ", " + _ANSWERS
-    + "SELECT count(*) AS total, count_if(p = label) AS correct, count_if(coalesce(p <> label, true)) AS misclassified, "
-    "count_if(p IS NULL) AS unparsed, CAST(count_if(p = label) AS DOUBLE) / count(*) AS accuracy FROM ("
+    + "SELECT count(*) AS total, count(*) FILTER (WHERE p = label) AS correct, count(*) FILTER (WHERE coalesce(p <> label, true)) AS misclassified, "
+    "count(*) FILTER (WHERE p IS NULL) AS unparsed, CAST(count(*) FILTER (WHERE p = label) AS DOUBLE) / count(*) AS accuracy FROM ("
     "SELECT label, CASE WHEN kind = 3 THEN NULL WHEN flag THEN 1 ELSE 0 END AS p FROM answers WHERE label IS NOT NULL)",
 )
 def ev_verdict(spark, sf):

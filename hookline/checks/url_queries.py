@@ -67,7 +67,7 @@ def url_extract_test(spark, sf):
 
 @query(
     "url_count",
-    D.ctes("emails") + "SELECT count(*) AS emails, count_if(n > 0) AS emails_with_urls, CAST(sum(n) AS BIGINT) AS total_urls "
+    D.ctes("emails") + "SELECT count(*) AS emails, count(*) FILTER (WHERE n > 0) AS emails_with_urls, CAST(sum(n) AS BIGINT) AS total_urls "
     f"FROM (SELECT len({D.urls_in(_MESSAGE_SQL)}) AS n FROM emails)",
 )
 def url_count(spark, sf):
