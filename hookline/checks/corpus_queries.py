@@ -15,6 +15,7 @@ from ..operators.ordered import sequence_id
 from ..operators.overlap import split_overlap
 from ..plans import text_corpus as C
 from ..plans import url_corpus as U
+from ..plans.audits import audit_files
 from ..session import materialize, scratch_path
 from ..sources import columns, readers, writers
 from . import duck as D
@@ -163,19 +164,8 @@ def src_optional(spark, sf):
 )
 def src_audit(spark, sf):
     """Shape and missing values of every file below the raw folder."""
-    from ..operators.profile import null_counts, shape
-
     base, paths = _curated_folder(spark, sf)
-    found = sorted({p.rsplit("/", 1)[0] for p in readers.list_files(spark, base, "*.csv", recursive=True)})
-    audits = []
-    for folder in found:
-        df = readers.read_csv(spark, folder)
-        nulls = null_counts(df, only_missing=False).agg(F.sum("n_null").alias("n_null"))
-        name = F.lit(readers.file_stem(folder))
-        audits.append(
-            shape(df).withColumn("file", name).join(nulls.withColumn("file", name), "file")
-        )
-    return reduce(lambda a, b: a.unionByName(b), audits)
+    return audit_files(spark, sorted({p.rsplit("/", 1)[0] for p in readers.list_files(spark, base, "*.csv", recursive=True)}))
 
 
 @query(

@@ -45,6 +45,7 @@ OTHER_DIGITS = (
     r"\x{11052}-\x{1105a}\x{1f100}-\x{1f10a}"
 )
 
+# A number from 0 to 255, and four of them.
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)"
 IPV4 = rf"\A{_OCTET}(?:\.{_OCTET}){{3}}\z"
 

@@ -48,6 +48,7 @@ def extract_urls(c: Column, mode: str = "live") -> Column:
     return F.array_distinct(F.filter(cut, lambda u: u != ""))
 
 
+# Fixed value: what counts as a scheme.
 SCHEME = r"^[a-zA-Z][a-zA-Z0-9+.\-]*://"
 
 

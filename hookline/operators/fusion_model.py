@@ -36,6 +36,8 @@ def scaling_stages(n_rows: int, inputs: list[str] = FUSION_FEATURES) -> list:
 def balanced_weights(df: DataFrame, label: str = "label", out: str = "weight") -> DataFrame:
     """``df`` plus the class weight n / (classes * n_class). Two counts reach the plan as constants."""
     counts = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count("*").alias("n")).limit(3).collect()}
+    if len(counts) > 2:
+        raise ValueError(f"{label} has more than two values")
     total = sum(counts.values())
     weight = F.lit(None).cast("double")
     for value, n in counts.items():

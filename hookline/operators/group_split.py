@@ -86,8 +86,10 @@ def group_split_table(df: DataFrame, group: str, label: str = "label", seed: int
 def group_split(
     df: DataFrame, group: str, key: str = "id", label: str = "label", seed: int = SEED
 ) -> DataFrame:
-    """``df`` plus ``split``; all rows of a group share it, labels stay roughly balanced (about 80/10/10)."""
-    table = materialize(group_split_table(df, group, label, seed), "group-splits")
+    """``df`` plus ``split``; all rows of a group share it, labels stay roughly balanced (about 80/10/10).
+    A null group counts as ""."""
+    grouped = df.withColumn("_group", F.coalesce(F.col(group).cast("string"), F.lit("")))
+    table = materialize(group_split_table(grouped, "_group", label, seed), "group-splits")
     total = table.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    lookup = table.select(F.col("group").alias(group), "split", "n")
-    return lookup_join(df, lookup, key=group, row_id=key, count="n", total=total, how="inner")
+    lookup = table.select(F.col("group").alias("_group"), "split", "n")
+    return lookup_join(grouped, lookup, key="_group", row_id=key, count="n", total=total, how="inner").drop("_group")

@@ -66,7 +66,14 @@ def score_distinct_urls(exploded: DataFrame, model: UrlPlusModel, key: str) -> D
 
 
 def _score_table(
-    rows: DataFrame, mode: str, url_column: str, text_model: PipelineModel, url_model: UrlPlusModel, key: str, text: str, keep: list[str]
+    rows: DataFrame,
+    mode: str,
+    url_column: str,
+    text_model: PipelineModel,
+    url_model: UrlPlusModel,
+    key: str,
+    text: str,
+    keep: list[str],
 ) -> DataFrame:
     """Text score and URL list of each row are written once, without the texts; all URL work reads that table."""
     listed = rows.withColumn("_urls", extract_urls(F.col(url_column), mode))

@@ -164,6 +164,22 @@ def test_group_split_keeps_groups_whole(spark):
     assert all(r["shared"] == 0 and r["status"] == "PASS" for r in overlap)
 
 
+def test_null_group_is_kept(spark):
+    df = spark.createDataFrame([(i, None if i % 2 else f"g{i % 10}", 0) for i in range(40)], "id long, g string, label int")
+    out = group_split(df, "g").collect()
+    assert len(out) == 40 and len({r["split"] for r in out if r["g"] is None}) == 1
+
+
+def test_column_pruning_and_sketch(spark, sf):
+    from hookline.checks.corpus_queries import src_prune
+
+    plan = src_prune(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "struct<url:string>" in plan
+    df = spark.createDataFrame([(i % 50,) for i in range(500)], "v int")
+    assert tuple(P.distinct_count(df, "v").first()) == (500, 50, 450)
+    assert abs(P.distinct_count(df, "v", approximate=True).first()["distinct_rows"] - 50) <= 5
+
+
 def test_heavy_groups_spread():
     groups = [(f"g{i}", 100, 0) for i in range(10)] + [(f"h{i}", 0, 10) for i in range(5)]
     placed = place_heavy_groups(groups, (1000, 50), 5)

@@ -26,9 +26,9 @@ def test_live_verdicts(spark):
 
 def test_test_mode_drops_first_line(spark):
     rows = verdicts(spark, ['```json\n{"is_phishing": false}\n```', '```{"is_phishing": 1}```', '```\n{\n"is_phishing": true}```'], "test")
-    assert [r["is_phishing"] for r in rows][:1] == [False]
+    assert rows[0]["is_phishing"] is False and rows[0]["predicted"] == 0
     assert rows[1]["predicted"] == 1
-    assert rows[2]["error"] is None or rows[2]["error"] == V.PARSE_ERROR
+    assert rows[2]["error"] == V.PARSE_ERROR  # the first line holds the opening brace
 
 
 @pytest.mark.parametrize("value,want", [("true", 1), ("false", 0), ("null", 0), ("0", 0), ("2", 1), ('""', 0), ('"no"', 1), ("[]", 0), ("[0]", 1)])
