@@ -11,12 +11,11 @@ from ..functions.url_features import URL_FEATURES
 from ..operators import splits as S
 from ..operators.dedup import distinct_messages, distinct_text_label, duplicate_counts, label_conflicts
 from ..operators.group_split import group_split
-from ..operators.ordered import sequence_id
 from ..operators.overlap import split_overlap
 from ..plans import text_corpus as C
 from ..plans import url_corpus as U
 from ..plans.audits import audit_files
-from ..session import materialize, scratch_path
+from ..session import scratch_path
 from ..sources import columns, readers, writers
 from . import duck as D
 from . import views

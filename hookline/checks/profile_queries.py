@@ -9,7 +9,7 @@ from ..functions.labels import argmax_label, label_from_text, threshold_label
 from ..functions.text import text_length
 from ..operators import metrics as M
 from ..operators import profile as P
-from ..operators.scores import explode_urls, join_scores, max_url_score, with_max_over_urls
+from ..operators.scores import join_scores, max_url_score, with_max_over_urls
 from . import duck as D
 from . import views
 from .corpus_queries import domains, text_splits
@@ -116,9 +116,6 @@ def agg_len_quantiles(spark, sf):
     return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
 
 
-_BUCKETS = [f"('> {x}', len > {x})" for x in P.LONG_LIMITS] + [f"('< {x}', len < {x})" for x in P.SHORT_LIMITS]
-
-
 @query(
     "agg_len_buckets",
     " UNION ALL ".join(

@@ -3,7 +3,6 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from hookline.checks import views
 from hookline.checks.corpus_queries import text_splits
 from hookline.functions.url_features import with_url_features
 from hookline.operators.splits import stratified_split
