@@ -59,3 +59,41 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Owner of intermediate tables below the shared folder; ``drop`` and ``close`` remove what is no longer read.
+
+    Tables that a returned DataFrame still reads must stay until its rows are written, so an operator drops only
+    those whose readers have all run.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark = spark
+        self.root = scratch_path(spark, name)
+        self._paths: dict[int, tuple[DataFrame, str]] = {}
+        self._made = 0
+
+    def table(self, df: DataFrame) -> DataFrame:
+        """``df`` written as parquet and read back with its own schema."""
+        path = f"{self.root}/t{self._made}"
+        self._made += 1
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self._paths[id(out)] = (out, path)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for table in tables:
+            held = self._paths.pop(id(table), None)
+            if held:
+                self._delete(held[1])
+
+    def close(self) -> None:
+        self._paths.clear()
+        self._delete(self.root)
+
+    def _delete(self, path: str) -> None:
+        jvm = self.spark._jvm
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
