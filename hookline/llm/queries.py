@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import Scratch
-from . import mixing, simhash, url_rules
+from . import class_lm, decontamination, lz_fingerprint, mixing, pairwise_quality, pii, simhash, suffix_dedup, toxicity, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,6 +38,41 @@ def op1_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")
 
 
+@_query("op2_lz_fingerprint")
+def op2_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrase fingerprints of every document and of its edited text, and how alike they are."""
+    return lz_fingerprint.fingerprints(_table(spark, sf_dir, "documents"))
+
+
+@_query("op3_class_lm")
+def op3_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every document by class bigrams, beside that of an add-one unigram model."""
+    return class_lm.score_held_out(_table(spark, sf_dir, "documents"), Scratch(spark, "class-lm"))
+
+
+@_query("op4_personal_data")
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: counts and a digest of the base spans, and all spans."""
+    found = pii.find(_table(spark, sf_dir, "documents"), Scratch(spark, "pii"))
+    return found.select(
+        "doc_id", *[pii.count_kind(F.col("base"), k).alias(f"n_{k}") for k in pii.KINDS],
+        F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"),
+    )
+
+
+@_query("op5_pairwise_quality")
+def op5_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document as learned from preference pairs of labelled ones."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    return pairwise_quality.score_quality(docs, labels, Scratch(spark, "quality"))
+
+
+@_query("op6_repeated_passages")
+def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stretches of documents, in words, that are passages of 50 words or more shared with another document."""
+    return suffix_dedup.repeated_passages(_table(spark, sf_dir, "documents"), Scratch(spark, "passages"), length=50)
+
+
 @_query("op7_simhash_groups")
 def op7_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash of every document and the smallest id of its group of near copies."""
@@ -67,6 +103,24 @@ def op7_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host, path, the longest rule that fits and the verdict for the URL of every page."""
-    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    listed = F.array(*[F.struct(F.lit(h).alias("host"), F.lit(p).alias("path"), F.lit(v).alias("verdict")) for h, p, v in URL_RULES])
+    rules = spark.range(1).select(F.inline(listed))
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
     return url_rules.judge_urls(pages, rules, Scratch(spark, "urls")).select("page_id", "host", "path", "rule", "verdict")
+
+
+@_query("op9_toxic_spans")
+def op9_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document and the offending spans."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    tagger = toxicity.fit_tagger(docs, _table(spark, sf_dir, "labels"), Scratch(spark, "toxicity"))
+    scored = toxicity.score_toxicity(docs, tagger)
+    return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", "predicted", "toxic_spans")
+
+
+@_query("op10_template_leaks")
+def op10_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold a benchmark window, how many they hold, and the smallest item hit."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.with_hits(docs, _table(spark, sf_dir, "benchmark"), Scratch(spark, "leaks"))
+    return found.where("hits > 0").select("doc_id", "hits", F.col("item").alias("item_id"))
