@@ -89,11 +89,11 @@ def _valid(kind: str, value: Column) -> Column:
 
 def _base_spans(text: Column) -> Column:
     """All base spans as (start, kind, end), kind by its place in ``KINDS``."""
-    each = [
-        F.transform(F.filter(_spans(text, _BASE[k]), lambda s, k=k: _valid(k, s["value"])), lambda s, i=i: F.struct(s["start"].alias("start"), F.lit(i).alias("kind"), s["end"].alias("end")))
-        for i, k in enumerate(KINDS)
-    ]
-    return F.concat(*each)
+    def of(i: int, kind: str) -> Column:
+        fine = F.filter(_spans(text, _BASE[kind]), lambda s: _valid(kind, s["value"]))
+        return F.transform(fine, lambda s: F.struct(s["start"].alias("start"), F.lit(i).alias("kind"), s["end"].alias("end")))
+
+    return F.concat(*[of(i, k) for i, k in enumerate(KINDS)])
 
 
 def _candidates(text: Column) -> Column:
