@@ -25,8 +25,9 @@ from .frames import append_columns
 from .labelled import best_cut, fold_is, labelled_sample, logit
 
 _SIZE = 1 << 18
-_CELLS = 1 << 22  # words, padding included, that are worked on at a time
-_CACHE = 1 << 20
+_CELLS = 1 << 20  # words, padding included, that are worked on at a time
+_CHARS = 1 << 22  # characters cut into words at a time
+_CACHE = 1 << 18
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 _WORD = re.compile(r"\S+")
 
@@ -97,9 +98,19 @@ class SpanTagger:
 
     def marginals(self, texts: list[str | None]) -> list[np.ndarray]:
         """Per text, the probability of each blank-separated word to be toxic. Whole texts, however long."""
+        cache = _Scores(self.weights)
+        out: list[np.ndarray] = []
+        low = size = 0
+        for high, text in enumerate(texts, 1):
+            size += len(text or "")
+            if size > _CHARS or high == len(texts):
+                out += self._some(texts[low:high], cache)
+                low, size = high, 0
+        return out
+
+    def _some(self, texts: list[str | None], cache: _Scores) -> list[np.ndarray]:
         tokens = [t.split() if t else [] for t in texts]
         lengths = np.array([len(t) for t in tokens], np.int64)
-        cache = _Scores(self.weights)
         out: list[np.ndarray] = [np.zeros(0)] * len(texts)
         for group, width in _padded(lengths):
             scores = np.zeros((len(group), width))
@@ -107,7 +118,7 @@ class SpanTagger:
                 scores[row, : lengths[i]] = list(map(cache.__getitem__, tokens[i]))
             found, _ = _chain(scores, lengths[group], self.trans, self.start)
             for row, i in enumerate(group):
-                out[i] = found[row, : lengths[i]]
+                out[i] = found[row, : lengths[i]].copy()
         return out
 
     def summary(self, p: np.ndarray) -> list[float]:
