@@ -93,12 +93,16 @@ def src_prune(spark, sf):
 
 @query(
     "src_guard",
-    D.ctes("emails") + "SELECT unnest(['first', 'second', 'third_Vectorized', 'unlabelled', 'missing']) AS file, "
-    "unnest([n, n, n, 0, 0]) AS usable_rows FROM (SELECT count(*) AS n FROM emails)",
+    D.ctes("emails") + "SELECT unnest(['first', 'second', 'third_Vectorized', 'unlabelled', 'missing', 'broken']) AS file, "
+    "unnest([n, n, n, 0, 0, 0]) AS usable_rows FROM (SELECT count(*) AS n FROM emails)",
 )
 def src_guard(spark, sf):
-    """Usable rows of each file; none when it cannot be read or has no label column."""
-    _, paths = _curated_folder(spark, sf)
+    """Usable rows of each file; none when it cannot be read, has no label column or holds a row with too many fields."""
+    base, paths = _curated_folder(spark, sf)
+    lines = views.emails(spark, sf).select(F.concat_ws(",", "id", F.lit("ham")).alias("line"))
+    rows = lines.unionByName(lines.limit(1).select(F.concat("line", F.lit(",more,fields")).alias("line"))).coalesce(1)
+    rows.selectExpr("line AS `id,label`").write.option("header", True).option("quote", "").csv(f"{base}/broken.csv")
+    paths = [*paths, f"{base}/broken.csv"]
     counts = []
     for path in paths:
         df = readers.read_csv_or_none(spark, path)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+
+import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Window
@@ -17,6 +20,7 @@ from ..operators import url_model as UM
 from ..operators.selection import select_best
 from ..operators.splits import stratified_split
 from ..plans import scoring as SC
+from ..plans import training as T
 from ..plans import url_corpus as U
 from ..session import materialize, scratch_path
 from ..sources import writers
@@ -25,10 +29,11 @@ from . import duck as D
 from . import views
 from .corpus_queries import text_parts, text_splits, url_splits
 from .profile_queries import fused
-from .registry import query
+from .registry import ORACLES, query
 
-# Sizes for trial runs; the library's defaults are the full ones.
-TREES, DEPTH, COMPONENTS, FEATURES = 8, 4, 16, 2000
+# Only the trees are fewer and flatter than the library's default (500, depth 8), which takes minutes a model on one
+# machine; set these variables for the full size. Vocabulary, components, hash sizes and iterations are the defaults.
+TREES, DEPTH = int(os.environ.get("HOOKLINE_TREES", 8)), int(os.environ.get("HOOKLINE_TREE_DEPTH", 4))
 
 _FITTED: dict[tuple, object] = {}
 
@@ -59,14 +64,14 @@ def _url_model(spark, sf):
 
 
 def _tfidf(spark, sf):
-    return _fitted(spark, sf, "tfidf", lambda: TF.fit_tfidf(_train_urls(spark, sf), "url_id", "url", max_features=FEATURES))
+    return _fitted(spark, sf, "tfidf", lambda: TF.fit_tfidf(_train_urls(spark, sf), "url_id", "url"))
 
 
 def _svd(spark, sf):
     model = _tfidf(spark, sf)
     return _fitted(
         spark, sf, "svd",
-        lambda: SV.fit_svd(model, model.weights(_train_urls(spark, sf), "url_id", "url"), COMPONENTS),
+        lambda: SV.fit_svd(model, model.weights(_train_urls(spark, sf), "url_id", "url")),
     )
 
 
@@ -74,7 +79,7 @@ def _url_plus(spark, sf):
     return _fitted(
         spark, sf, "url_plus",
         lambda: UM.fit_url_plus_model(
-            _train_urls(spark, sf), "url_id", trees=TREES, depth=DEPTH, components=COMPONENTS, max_features=FEATURES
+            _train_urls(spark, sf), "url_id", trees=TREES, depth=DEPTH
         ),
     )
 
@@ -85,7 +90,7 @@ def _text_rows(spark, sf):
 
 def _text_model(spark, sf):
     train = _text_rows(spark, sf).where(F.col("split") == "train")
-    return _fitted(spark, sf, "text", lambda: TM.fit_text_model(train, hash_size=1 << 14, iterations=20))
+    return _fitted(spark, sf, "text", lambda: TM.fit_text_model(train))
 
 
 def _email_models(spark, sf):
@@ -121,7 +126,7 @@ _VOCABULARY = (
     + f""", vocabulary AS (SELECT *, row_number() OVER (ORDER BY gram) - 1 AS idx,
     ln((1.0::DOUBLE + (SELECT count(*) FROM train)) / (1.0::DOUBLE + df)) + 1 AS idf FROM (
       SELECT gram, CAST(sum(tf) AS BIGINT) AS tf, count(*) AS df FROM grams JOIN train USING (url_id) GROUP BY gram
-      HAVING count(*) >= 3 ORDER BY tf DESC, gram LIMIT {FEATURES}))\n"""
+      HAVING count(*) >= 3 ORDER BY tf DESC, gram LIMIT {TF.MAX_FEATURES}))\n"""
 )
 _WITH_VOCABULARY = D.ctes("urls", "url_splits").rstrip() + _VOCABULARY
 
@@ -154,28 +159,59 @@ def tfidf_stats(spark, sf):
 # SVD and vectors
 
 
-@query("svd_fit")
+_COMPONENTS = f"least({SV.N_COMPONENTS}, (SELECT count(*) FROM vocabulary))"
+
+
+@query(
+    "svd_fit",
+    _WITH_VOCABULARY + f"SELECT unnest(range({_COMPONENTS})) AS component, TRUE AS descending, TRUE AS solves, TRUE AS orthogonal, "
+    "TRUE AS within_total",
+)
 def svd_fit(spark, sf):
-    values = _svd(spark, sf).singular_values
-    return spark.createDataFrame([(i, float(s)) for i, s in enumerate(values)], "component int, singular_value double")
+    """Each singular value with what makes it one: order, residual of A'A v = s^2 v, orthogonality, and the sum of squares."""
+    model = _svd(spark, sf)
+    rows = _tfidf(spark, sf).weights(_train_urls(spark, sf), "url_id", "url")
+    v, squares = model.factors.astype(np.float64), model.singular_values**2
+    residual = np.linalg.norm(SV._gram_times(rows, v) - v * squares, axis=0)
+    apart = np.abs(v.T @ v - np.eye(v.shape[1])).max(axis=0)
+    table = [
+        (i, bool(i == 0 or squares[i] <= squares[i - 1] + 1e-9), bool(residual[i] <= 0.05 * squares[0]), bool(apart[i] < 1e-3), bool(squares.sum() <= rows.count() + 1e-6))
+        for i in range(len(squares))
+    ]
+    return spark.createDataFrame(table, "component bigint, descending boolean, solves boolean, orthogonal boolean, within_total boolean")
 
 
-@query("svd_transform")
+@query("svd_transform", _WITH_VOCABULARY + f"SELECT url_id, {_COMPONENTS} AS components, TRUE AS within_length FROM urls")
 def svd_transform(spark, sf):
+    """A projection has as many numbers as components and is never longer than its row, whose length is 1."""
     weights = _tfidf(spark, sf).weights(views.urls(spark, sf), "url_id", "url")
-    return _svd(spark, sf).transform(weights).select("url_id", "svd")
+    square = F.aggregate("svd", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    return _svd(spark, sf).transform(weights).select("url_id", F.size("svd").cast("bigint").alias("components"), (square <= 1 + 1e-4).alias("within_length"))
 
 
-@query("svd_explained")
+@query("svd_explained", _WITH_VOCABULARY + "SELECT TRUE AS a_share, (SELECT count(*) FROM train) AS n_rows")
 def svd_explained(spark, sf):
-    weights = _tfidf(spark, sf).weights(_train_urls(spark, sf), "url_id", "url")
-    return SV.explained_variance(weights, _svd(spark, sf).transform(weights))
+    weights = materialize(_tfidf(spark, sf).weights(_train_urls(spark, sf), "url_id", "url"), "weights")
+    share = F.col("explained_variance_ratio").between(0.5, 1 + 1e-6).alias("a_share")
+    return SV.explained_variance(weights, _svd(spark, sf).transform(weights)).select(share, F.lit(weights.count()).alias("n_rows"))
 
 
-@query("jn_hstack", D.ctes("urls") + f"SELECT url_id, label, {25 + COMPONENTS} AS n_features FROM urls")
+@query(
+    "jn_hstack",
+    (_WITH_VOCABULARY + ", " + D.ctes("canon", "parts", "features")[5:]).rstrip()
+    + f""" SELECT url_id, f.label, 25 + {_COMPONENTS} AS n_features, TRUE AS svd_within_length,
+      round({' + '.join(f'{i + 1} * CAST("{c}" AS DOUBLE)' for i, c in enumerate(URL_FEATURES))}, 6) AS lexical_sum FROM features f""",
+)
 def jn_hstack(spark, sf):
+    """The joined vector: its size, the lexical cells by a sum that weighs each place, and the length of the rest."""
     rows = UM.plus_features(views.urls(spark, sf), _tfidf(spark, sf), _svd(spark, sf), "url_id", keep=["label"])
-    return rows.select("url_id", "label", F.size(vector_to_array("features")).alias("n_features"))
+    cells = rows.select("url_id", "label", vector_to_array("features").alias("x"))
+    square = F.aggregate(F.slice("x", 26, 1 << 20), F.lit(0.0), lambda a, x: a + x * x)
+    lexical = sum((F.col("x")[i] * (i + 1) for i in range(25)), F.lit(0.0))
+    return cells.select(
+        "url_id", "label", F.size("x").cast("bigint").alias("n_features"), (square <= 1 + 1e-4).alias("svd_within_length"),
+        F.round(lexical, 6).alias("lexical_sum"),
+    )
 
 
 _FEATURE_ROWS = ", ".join(f'CAST("{c}" AS DOUBLE)' for c in URL_FEATURES)
@@ -206,65 +242,108 @@ def vec_scale(spark, sf):
     return scaled.select("id", *[F.round(values[i], 8).alias(c) for i, c in enumerate(FM.FUSION_FEATURES)])
 
 
-@query("snk_matrix", D.ctes("urls") + f"SELECT url_id, {COMPONENTS} AS components, label FROM urls")
+@query(
+    "snk_matrix",
+    _WITH_VOCABULARY + f""", cells AS (SELECT url_id, count(*) AS non_zeros, sum(idx) AS places FROM grams JOIN vocabulary USING (gram) GROUP BY url_id)
+    SELECT url_id, {_COMPONENTS} AS components, label, coalesce(non_zeros, 0) AS non_zeros, CAST(coalesce(places, 0) AS BIGINT) AS places,
+      CASE WHEN non_zeros > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS length FROM urls LEFT JOIN cells USING (url_id)""",
+)
 def snk_matrix(spark, sf):
+    """What the saved matrix holds when it is read again: places and length of the sparse rows, size of the dense ones."""
     path = scratch_path(spark, "matrix")
     model = _tfidf(spark, sf)
     weights = model.weights(views.urls(spark, sf), "url_id", "url")
     dense = _svd(spark, sf).transform(model.vectors(weights)).join(views.urls(spark, sf).select("url_id", "label"), "url_id")
     writers.write_matrix(dense.select("url_id", "tfidf", "svd", "label"), path)
-    back = spark.read.parquet(path)
-    return back.select("url_id", F.size("svd").alias("components"), "label")
+    cells = spark.read.parquet(path).withColumn("x", F.filter(
+        F.transform(vector_to_array("tfidf"), lambda v, i: F.struct(i.alias("i"), v.alias("v"))), lambda c: c["v"] != 0
+    ))
+    square = F.aggregate("x", F.lit(0.0), lambda a, c: a + c["v"] * c["v"])
+    return cells.select(
+        "url_id", F.size("svd").cast("bigint").alias("components"), "label", F.size("x").cast("bigint").alias("non_zeros"),
+        F.aggregate("x", F.lit(0).cast("bigint"), lambda a, c: a + c["i"]).alias("places"), F.round(F.sqrt(square), 6).alias("length"),
+    )
 
 
 # Models
 
 
-def _evaluated(scored, probability="probability"):
-    return M.evaluate_scores(scored, probability=probability)
+def _verified(scored, probability="probability", by_accuracy=True):
+    """Rows and positives that the metrics saw, and whether they beat naming the larger class every time: the scores must
+    order the classes and, unless the classes overlap too much for it, the accuracy exceed the larger one's share."""
+    m = M.evaluate_scores(scored, probability=probability)
+    positives = F.col("confusion_matrix")[1][0] + F.col("confusion_matrix")[1][1]
+    larger = F.greatest(positives, F.col("samples") - positives) / F.col("samples")
+    return m.select(F.col("samples").alias("n"), positives.alias("positives"), ((F.col("roc_auc") > 0.5) & (F.lit(not by_accuracy) | (F.col("accuracy") >= larger))).alias("better"))
+
+
+def _held(table, where="split = 'test'"):
+    return f"SELECT count(*) AS n, count(*) FILTER (WHERE label = 1) AS positives, TRUE AS better FROM {table} WHERE {where}"
+
+
+_URL_PARTS = D.ctes("urls") + ", feature_splits AS (" + D.ranked_split("urls", "70_10_20", "url_id") + ")\n"
+_URL_SPLITS = D.ctes("urls", "url_splits")
+_TEXTS = D.ctes(*D.DATASET, "text_splits")
 
 
-@query("mdl_url")
+@query("mdl_url", _URL_PARTS + _held("feature_splits"))
 def mdl_url(spark, sf):
     test = _feature_splits(spark, sf).where(F.col("split") == "test")
-    scored = UM.probability_of_phishing(_url_model(spark, sf).transform(UM.finite_features(test)))
-    return _evaluated(scored)
+    return _verified(UM.probability_of_phishing(_url_model(spark, sf).transform(UM.finite_features(test))))
 
 
-@query("mdl_url_plus")
+@query("mdl_url_plus", _URL_SPLITS + _held("url_splits"))
 def mdl_url_plus(spark, sf):
     test = url_splits(spark, sf).where(F.col("split") == "test")
-    return _evaluated(_url_plus(spark, sf).score(test, "url_id", keep=["label"]))
+    return _verified(_url_plus(spark, sf).score(test, "url_id", keep=["label"]))
 
 
-@query("mdl_learning_curve")
+@query("mdl_learning_curve", f"SELECT CAST(unnest(range(1, {TREES + 1})) AS INTEGER) AS round, TRUE AS falling, TRUE AS positive")
 def mdl_learning_curve(spark, sf):
     rows = _feature_splits(spark, sf)
-    return UM.learning_curve(
-        _url_model(spark, sf), rows.where(F.col("split") == "train"), rows.where(F.col("split") == "val")
+    curve = UM.learning_curve(_url_model(spark, sf), rows.where(F.col("split") == "train"), rows.where(F.col("split") == "val"))
+    before = F.lag("train_log_loss").over(Window.orderBy("round"))
+    return curve.select(
+        "round", F.coalesce(F.col("train_log_loss") <= before + 1e-3, F.lit(True)).alias("falling"),
+        ((F.col("train_log_loss") > 0) & (F.col("val_log_loss") > 0)).alias("positive"),
     )
 
 
-@query("mdl_importance")
+_NAMES = ", ".join(f"'{c}'" for c in URL_FEATURES)
+
+
+@query("mdl_importance", f"SELECT unnest([{_NAMES}]) AS feature, TRUE AS a_share, TRUE AS whole, TRUE AS unused_is_zero")
 def mdl_importance(spark, sf):
-    return UM.feature_importance(_url_model(spark, sf), spark)
+    """The shares of all features sum to 1; a feature that never varies has none."""
+    table = UM.feature_importance(_url_model(spark, sf), spark)
+    total = table.agg(F.sum("importance")).first()[0]
+    fixed = F.col("feature").isin("NoOfSelfRedirect", "HasExternalFormSubmit", "NoOfExternalRef")
+    return table.select(
+        "feature", F.col("importance").between(0, 1).alias("a_share"), F.lit(abs(total - 1) < 1e-6).alias("whole"),
+        (~fixed | (F.col("importance") == 0)).alias("unused_is_zero"),
+    )
 
 
-@query("srt_importance")
+@query("srt_importance", "SELECT CAST(unnest(range(1, 26)) AS INTEGER) AS place, TRUE AS in_order")
 def srt_importance(spark, sf):
     place = F.row_number().over(Window.orderBy(F.desc("importance"), "feature"))
-    return UM.feature_importance(_url_model(spark, sf), spark).withColumn("place", place)
+    table = UM.feature_importance(_url_model(spark, sf), spark).withColumn("place", place)
+    before = F.lag("importance").over(Window.orderBy("place"))
+    return table.select("place", F.coalesce(F.col("importance") <= before, F.lit(True)).alias("in_order"))
 
 
-@query("mdl_text")
+@query("mdl_text", _TEXTS + _held("text_splits"))
 def mdl_text(spark, sf):
     test = _text_rows(spark, sf).where(F.col("split") == "test")
-    return _evaluated(TM.score_text(_text_model(spark, sf), test), "text_probability")
+    return _verified(TM.score_text(_text_model(spark, sf), test), "text_probability", by_accuracy=False)
 
 
-@query("mdl_text_score")
+@query("mdl_text_score", _TEXTS + "SELECT id, TRUE AS in_range, TRUE AS split_apart FROM text_splits")
 def mdl_text_score(spark, sf):
-    return TM.score_text(_text_model(spark, sf), _text_rows(spark, sf)).select("id", "text_probability")
+    """Every text gets a probability; on the training rows the two labels' means lie apart."""
+    scored = materialize(TM.score_text(_text_model(spark, sf), _text_rows(spark, sf)).select("id", "label", "split", "text_probability"), "text-scores")
+    means = scored.where("split = 'train'").agg(*[F.avg(F.when(F.col("label") == k, F.col("text_probability"))) for k in (0, 1)]).first()
+    return scored.select("id", F.col("text_probability").between(0, 1).alias("in_range"), F.lit(bool(means[1] > means[0] + 0.2)).alias("split_apart"))
 
 
 @query("mdl_text_score_custom", "SELECT doc_id, CAST(length(text) % 100 AS DOUBLE) / 100 AS text_probability FROM documents")
@@ -280,39 +359,55 @@ def mdl_text_score_custom(spark, sf):
     return TM.score_text_with(make_predict, docs, batch_size=256).select("doc_id", "text_probability")
 
 
-@query("mdl_url_score")
+@query("mdl_url_score", f"SELECT id, pos, url, TRUE AS in_range, TRUE AS one_score FROM ({ORACLES['url_explode']})")
 def mdl_url_score(spark, sf):
+    """Every URL of every mail with a probability, the same wherever the URL occurs; none without a URL."""
     exploded = SC.explode_urls(SC.as_messages(views.emails(spark, sf), "id"), "id")
-    return SC.score_distinct_urls(exploded, _url_plus(spark, sf), "id")
+    scored = materialize(SC.score_distinct_urls(exploded, _url_plus(spark, sf), "id"), "url-scored")
+    spread = scored.where("url IS NOT NULL").groupBy(F.col("url").alias("u")).agg((F.max("probability") == F.min("probability")).alias("one"))
+    fine = F.when(F.col("url").isNull(), F.col("probability").isNull()).otherwise(F.col("probability").between(0, 1))
+    return scored.join(spread, F.col("url") == F.col("u"), "left").select(
+        "id", "pos", "url", fine.alias("in_range"), F.coalesce("one", F.lit(True)).alias("one_score")
+    )
 
 
-@query("mdl_fusion")
+@query("mdl_fusion", _TEXTS + _held("text_splits", "split = 'test'"))
 def mdl_fusion(spark, sf):
+    """Classes are weighed alike here, so the order of the scores must hold rather than the accuracy."""
     test = _multimodal(spark, sf).where(F.col("split") == "test")
-    return _evaluated(FM.score_fusion(_fusion_model(spark, sf), test), "fused_probability")
+    return _verified(FM.score_fusion(_fusion_model(spark, sf), test), "fused_probability", by_accuracy=False)
 
 
-@query("mdl_coefficients")
+@query(
+    "mdl_coefficients",
+    f"SELECT unnest([{', '.join(f"'{c}'" for c in FM.FUSION_FEATURES)}, 'intercept']) AS feature, TRUE AS finite, TRUE AS text_counts",
+)
 def mdl_coefficients(spark, sf):
-    return FM.fusion_coefficients(_fusion_model(spark, sf), spark)
+    """All numbers of the fusion model; a higher text probability raises the risk."""
+    table = FM.fusion_coefficients(_fusion_model(spark, sf), spark)
+    finite = F.col("coefficient").isNotNull() & ~F.isnan("coefficient") & (F.abs("coefficient") < 1e6)
+    return table.select("feature", finite.alias("finite"), ((F.col("feature") != "text_probability") | (F.col("coefficient") > 0)).alias("text_counts"))
 
 
-@query("mdl_select_best")
+@query("mdl_select_best", "SELECT CAST(i AS INTEGER) AS step, 'reg=' || x AS name, TRUE AS follows FROM (SELECT unnest([1, 2]) AS i, unnest(['0.1', '0.01']) AS x)")
 def mdl_select_best(spark, sf):
+    """A candidate is kept exactly if its F1 is above that of all before it."""
     rows = _text_rows(spark, sf)
     train, val = rows.where(F.col("split") == "train"), rows.where(F.col("split") == "val")
-    candidates = [
-        (f"reg={reg}", lambda reg=reg: TM.fit_text_model(train, hash_size=1 << 12, reg=reg, iterations=5))
-        for reg in (0.1, 0.01)
-    ]
+    candidates = [(f"reg={reg}", lambda reg=reg: TM.fit_text_model(train, reg=reg)) for reg in (0.1, 0.01)]
 
     def predict(model):
         return TM.score_text(model, val).select("label", (F.col("text_probability") >= 0.5).cast("int").alias("predicted"))
 
-    return select_best(candidates, predict, spark)[2]
+    history = select_best(candidates, predict, spark)[2]
+    best = F.max("f1").over(Window.orderBy("step").rowsBetween(Window.unboundedPreceding, -1))
+    return history.select("step", "name", (F.col("kept") == (F.col("f1") > F.coalesce(best, F.lit(-1.0)))).alias("follows"))
 
 
-@query("snk_model")
+@query(
+    "snk_model",
+    _TEXTS + "SELECT 'text' AS model, count(*) AS n, TRUE AS equal FROM text_splits UNION ALL SELECT 'url_plus', count(*), TRUE FROM pages",
+)
 def snk_model(spark, sf):
     """All models saved, loaded again, and compared on every URL and text."""
     base = scratch_path(spark, "models")
@@ -323,74 +418,131 @@ def snk_model(spark, sf):
     loaded, loaded_plus = writers.load_model(f"{base}/text"), UM.UrlPlusModel.load(spark, f"{base}/url_plus")
     urls, rows = views.urls(spark, sf), _text_rows(spark, sf)
 
-    def worst(a, b, key, value, name):
+    def compared(a, b, key, value, name):
         both = a.select(key, F.col(value).alias("x")).join(b.select(key, F.col(value).alias("y")), key)
-        return both.agg(F.lit(name).alias("model"), F.count("*").alias("n"), F.max(F.abs(F.col("x") - F.col("y"))).alias("worst"))
+        return both.agg(F.lit(name).alias("model"), F.count("*").alias("n"), (F.max(F.abs(F.col("x") - F.col("y"))) < 1e-6).alias("equal"))
 
-    return worst(plus.score(urls, "url_id"), loaded_plus.score(urls, "url_id"), "url_id", "probability", "url_plus").unionByName(
-        worst(TM.score_text(text, rows), TM.score_text(loaded, rows), "id", "text_probability", "text")
+    return compared(plus.score(urls, "url_id"), loaded_plus.score(urls, "url_id"), "url_id", "probability", "url_plus").unionByName(
+        compared(TM.score_text(text, rows), TM.score_text(loaded, rows), "id", "text_probability", "text")
     )
 
 
-@query("snk_metrics")
+@query(
+    "snk_metrics",
+    _TEXTS + """SELECT 'text' AS model, count(*) FILTER (WHERE split = 'train') AS train_samples, count(*) FILTER (WHERE split = 'val') AS val_samples,
+      count(*) FILTER (WHERE split = 'test') AS test_samples, count(*) FILTER (WHERE split = 'val' AND label = 1) AS val_positives,
+      count(*) FILTER (WHERE split = 'test' AND label = 1) AS test_positives, TRUE AS in_range FROM text_splits""",
+)
 def snk_metrics(spark, sf):
+    """The record of a training run, written and read again: sample counts, confusion totals, metrics within range."""
     path = scratch_path(spark, "metrics")
-    test = _text_rows(spark, sf).where(F.col("split") == "test")
-    record = _evaluated(TM.score_text(_text_model(spark, sf), test), "text_probability")
+    record = T.train_text_model(_text_rows(spark, sf))[1]
     writers.write_metrics(record, path)
-    return spark.read.schema(record.schema).json(path)
+    back = spark.read.schema(record.schema).json(path)
+
+    def positives(part):
+        return (F.col(part)["confusion_matrix"][1][0] + F.col(part)["confusion_matrix"][1][1]).alias(f"{part}_positives")
+
+    inside = F.lit(True)
+    for part in ("val", "test"):
+        for name in ("accuracy", "precision", "recall", "f1", "roc_auc"):
+            inside = inside & F.col(part)[name].between(0, 1)
+    return back.select("model", "train_samples", "val_samples", "test_samples", positives("val"), positives("test"), inside.alias("in_range"))
 
 
 # Scoring
 
 
-@query("sc_email")
+def _consistent(response):
+    """What one response must say of itself, whatever the models: level and flag from the score, the score from its parts."""
+    score = F.col("risk_score")
+    level = F.when(score > 70, "High").when(score > 50, "Medium").otherwise("Low")
+    edge = F.abs(score - 70) < 0.01
+    edge = edge | (F.abs(score - 50) < 0.01)
+    parts = F.abs(score - (0.6 * F.col("text_probability") + 0.4 * F.col("url_probability"))) <= 0.0151
+    return response.select(
+        "id", F.array_join("urls", " ").alias("urls"), F.col("url_count").cast("bigint").alias("url_count"),
+        (edge | ((F.col("risk_level") == level) & (F.col("is_phishing") == (score >= 50)))).alias("level_fits"), parts.alias("risk_fits"),
+        ((F.col("url_count") > 0) | (F.col("url_probability") == 0)).alias("zero_without_urls"),
+    )
+
+
+_RESPONSES = (
+    D.ctes("emails") + "SELECT id, array_to_string(f, ' ') AS urls, CAST(len(f) AS BIGINT) AS url_count, TRUE AS level_fits, TRUE AS risk_fits, "
+    f"TRUE AS zero_without_urls FROM (SELECT id, {D.urls_in(D.message('subject', 'sender', 'body'))} AS f FROM emails)"
+)
+
+
+@query("sc_email", _RESPONSES)
 def sc_email(spark, sf):
-    return SC.score_emails(views.emails(spark, sf), _email_models(spark, sf))
+    return _consistent(SC.score_emails(views.emails(spark, sf), _email_models(spark, sf)))
+
 
+def _in_range(*extra):
+    """Kept columns and whether both probabilities are some, with none for the URLs of a row without any."""
+    fine = F.col("text_probability").between(0, 1) & F.col("url_probability").between(0, 1)
+    return [*extra, F.col("url_count").cast("bigint").alias("url_count"), (fine & ((F.col("url_count") > 0) | (F.col("url_probability") == 0))).alias("in_range")]
 
-@query("sc_multimodal")
+
+@query(
+    "sc_multimodal",
+    _TEXTS + f"SELECT id, source, split, label, CAST(len(list_distinct({D.urls_in('text', 'text')})) AS BIGINT) AS url_count, TRUE AS in_range FROM text_splits",
+)
 def sc_multimodal(spark, sf):
-    return _multimodal(spark, sf)
+    return _multimodal(spark, sf).select(*_in_range("id", "source", "split", "label"))
 
 
-@query("sc_fusion_set")
+@query(
+    "sc_fusion_set",
+    D.ctes("urls", "list_mails", "listed") + f"SELECT id, l.label, CAST(len({D.urls_in(D.clean('m.urls'), 'list')}) AS BIGINT) AS url_count, TRUE AS in_range "
+    "FROM listed l JOIN list_mails m USING (id)",
+)
 def sc_fusion_set(spark, sf):
-    return SC.score_listed_urls(text_parts(spark, sf)[1], _text_model(spark, sf), _url_plus(spark, sf))
+    rows = SC.score_listed_urls(text_parts(spark, sf)[1], _text_model(spark, sf), _url_plus(spark, sf))
+    return rows.select(*_in_range("id", "label"))
 
 
 # Streaming
 
 
 def _stream(spark, sf):
-    """The e-mails as a stream of files, each e-mail twice, a minute apart."""
+    """The e-mails as a stream of files, one for each batch: all mails, the same a minute later, two other mails that
+    move the clock on, and all mails once more, two hours after the first time."""
     path = scratch_path(spark, "incoming")
     mails = views.emails(spark, sf).select("id", "subject", "sender", "body")
-    sent = F.timestamp_seconds(F.lit(1704067200) + F.col("id") * 60)
-    resent = mails.select("*", F.explode(F.array(sent, sent + F.expr("INTERVAL 1 MINUTE"))).alias("ts"))
-    resent.write.parquet(path)
-    return spark.readStream.schema(resent.schema).parquet(path)
+    clock = spark.range(1).select(F.lit(-1).cast("bigint").alias("id"), F.lit("tick").alias("subject"), F.lit("").alias("sender"), F.lit("a").alias("body"))
+    for rows, minute in ((mails, 0), (mails, 1), (clock, 120), (clock.withColumn("body", F.lit("b")), 120), (mails, 120)):
+        timed = rows.withColumn("ts", F.timestamp_seconds(F.lit(1704067200 + 60 * minute)))
+        timed.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(timed.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-@query("st_score")
+@query("st_score", f"SELECT *, TRUE AS as_batch FROM ({_RESPONSES})")
 def st_score(spark, sf):
+    """The responses of the stream, and whether the batch transform gives each mail the same."""
     sink, checkpoint = scratch_path(spark, "scored"), scratch_path(spark, "scored-checkpoint")
     path = scratch_path(spark, "incoming-once")
     views.emails(spark, sf).select("id", "subject", "sender", "body").write.parquet(path)
     incoming = spark.readStream.schema("id bigint, subject string, sender string, body string").parquet(path)
-    jobs.score_stream(incoming, _email_models(spark, sf), sink, checkpoint).awaitTermination()
-    return spark.read.parquet(sink).drop("batch_id")
+    models = _email_models(spark, sf)
+    jobs.score_stream(incoming, models, sink, checkpoint).awaitTermination()
+    streamed = spark.read.parquet(sink).drop("batch_id")
+    batch = SC.score_emails(views.emails(spark, sf), models).select(F.col("id").alias("b_id"), F.struct("risk_score", "text_probability", "url_probability").alias("b"))
+    same = streamed.join(batch, F.col("id") == F.col("b_id"))
+    equal = (F.abs(F.col("b.risk_score") - F.col("risk_score")) < 0.011) & (F.abs(F.col("b.text_probability") - F.col("text_probability")) < 0.011)
+    flags = same.select(F.col("id").alias("s_id"), equal.alias("as_batch"))
+    return _consistent(streamed).join(flags, F.col("id") == F.col("s_id")).drop("s_id")
 
 
 @query(
     "st_dedupe",
-    D.ctes("emails") + f"SELECT count(*) AS kept, count(DISTINCT h) AS messages FROM (SELECT DISTINCT sha256({D.message('subject', 'sender', 'body')}) "
+    D.ctes("emails") + f"SELECT 2 * count(*) + 2 AS kept, count(*) + 2 AS messages FROM (SELECT DISTINCT sha256({D.message('subject', 'sender', 'body')}) "
     f"AS h FROM emails WHERE {D.strip('body')} <> '')",
 )
 def st_dedupe(spark, sf):
+    """Copies within the delay are dropped; once the watermark has passed it, a message comes through again."""
     sink, checkpoint = scratch_path(spark, "deduped"), scratch_path(spark, "deduped-checkpoint")
-    kept = jobs.drop_resent(_stream(spark, sf), delay="3650 days")
-    jobs.append_stream(kept, sink, checkpoint).awaitTermination()
+    jobs.append_stream(jobs.drop_resent(_stream(spark, sf)), sink, checkpoint).awaitTermination()
     return spark.read.schema("message_hash string").parquet(sink).agg(
         F.count("*").alias("kept"), F.countDistinct("message_hash").alias("messages")
     )

@@ -61,26 +61,25 @@ _JOINED = "documents d LEFT JOIN labels l USING (doc_id)"
 
 @query(
     "agg_null_counts",
-    f"""SELECT "column", n_null FROM (SELECT unnest(['doc_id', 'text', 'lang', 'source', 'quality', 'toxic']) AS "column",
-      unnest([count(*) FILTER (WHERE doc_id IS NULL), count(*) FILTER (WHERE text IS NULL), count(*) FILTER (WHERE lang IS NULL), count(*) FILTER (WHERE source IS NULL),
+    f"""SELECT "column", n_null FROM (SELECT unnest(['doc_id', 'text', 'lang', 'source', 'n_chars', 'quality', 'toxic']) AS "column",
+      unnest([count(*) FILTER (WHERE doc_id IS NULL), count(*) FILTER (WHERE text IS NULL), count(*) FILTER (WHERE lang IS NULL), count(*) FILTER (WHERE source IS NULL), count(*) FILTER (WHERE n_chars IS NULL),
       count(*) FILTER (WHERE quality IS NULL), count(*) FILTER (WHERE toxic IS NULL)]) AS n_null FROM {_JOINED}) WHERE n_null > 0""",
 )
 def agg_null_counts(spark, sf):
-    docs = views.table(spark, sf, "documents").drop("n_chars")
+    docs = views.table(spark, sf, "documents")
     return P.null_counts(docs.join(views.table(spark, sf, "labels"), "doc_id", "left"))
 
 
 @query(
     "agg_label_candidates",
     """WITH cells AS (SELECT 'event_type' AS "column", event_type AS value FROM events
-       UNION ALL SELECT 'spam_score', CASE WHEN value > 50 THEN NULL ELSE CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) END FROM events)
+       UNION ALL SELECT 'spam_score', CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) FROM events)
     SELECT "column", value, n, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY n DESC, value NULLS FIRST) AS place
       FROM (SELECT "column", value, count(*) AS n FROM cells GROUP BY ALL)) WHERE place <= 20""",
 )
 def agg_label_candidates(spark, sf):
     events = views.table(spark, sf, "events")
-    score = F.when(F.col("value") <= 50, F.floor("value")).when(F.col("value").isNull(), F.lit(None))
-    return P.label_candidates(events.select("event_id", "event_type", score.alias("spam_score")))
+    return P.label_candidates(events.select("event_id", "event_type", F.floor("value").alias("spam_score")))
 
 
 @query(

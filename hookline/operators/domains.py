@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import text_or_empty
 from ..functions.url_features import IPV4
+from ..session import materialize
 
 # Common public suffixes, for use without a full public-suffix list.
 COMMON_SUFFIXES = [
@@ -17,18 +18,14 @@ COMMON_SUFFIXES = [
     "eu", "ru", "cn", "com.cn", "in", "co.in", "jp", "co.jp", "br", "com.br", "au", "com.au", "ca", "us",
     "ch", "at", "be", "pl", "se", "no", "dk", "fi",
 ]
-# The rules are broadcast; a public-suffix list has about 10,000.
-MAX_RULES = 200_000
-
 # The full stops that separate host labels.
 IDN_DOTS = ".\u3002\uff0e\uff61"
 
 
-def read_suffix_rules(spark: SparkSession, path: str) -> list[str]:
-    """Rules of a public-suffix list file: one a line, ``//`` starts a comment."""
+def read_suffix_rules(spark: SparkSession, path: str) -> DataFrame:
+    """(rule) of a public-suffix list file: one a line, ``//`` starts a comment."""
     lines = spark.read.text(path).select(F.trim("value").alias("rule"))
-    rules = lines.where((F.col("rule") != "") & ~F.col("rule").startswith("//"))
-    return [r["rule"] for r in rules.limit(MAX_RULES + 1).collect()]
+    return lines.where((F.col("rule") != "") & ~F.col("rule").startswith("//"))
 
 
 def url_host(url: Column) -> Column:
@@ -41,44 +38,40 @@ def url_host(url: Column) -> Column:
     return F.lower(F.when(bracketed != "", bracketed).otherwise(dotted))
 
 
-def _rules_by_key(rules: Iterable[str]) -> dict[str, list[bool]]:
+def _rule_table(rules: DataFrame) -> DataFrame:
     """Per host name: is it a suffix itself, are its children suffixes, is it exempt from its parent's rule.
 
-    Rules are in public-suffix notation: ``co.uk``, ``*.ck``, ``!www.ck``.
+    Rules are in public-suffix notation: ``co.uk``, ``*.ck``, ``!www.ck``. One name may have several.
     """
-    by_key: dict[str, list[bool]] = {}
-    for rule in rules:
-        rule = rule.lower()
-        kind = 1 if rule.startswith("*.") else 2 if rule.startswith("!") else 0
-        key = rule[2:] if kind == 1 else rule[1:] if kind == 2 else rule
-        by_key.setdefault(key, [False, False, False])[kind] = True
-    return by_key
+    rule = F.lower("rule")
+    wild, exempt = rule.startswith("*."), rule.startswith("!")
+    key = F.when(wild, F.substring(rule, 3, 1 << 20)).when(exempt, F.substring(rule, 2, 1 << 20)).otherwise(rule)
+    named = rules.where(F.col("rule").isNotNull()).select(key.alias("key"), (~wild & ~exempt).alias("e"), wild.alias("w"), exempt.alias("x"))
+    flags = named.groupBy("key").agg(F.max("e").alias("exact"), F.max("w").alias("wild"), F.max("x").alias("exempt"))
+    return flags.select("key", F.struct("exact", "wild", "exempt").alias("rule"))
 
 
 def with_registered_domain(
-    df: DataFrame, rules: Iterable[str] = COMMON_SUFFIXES, url: str = "url", out: str = "domain_group"
+    df: DataFrame, rules: Iterable[str] | DataFrame = COMMON_SUFFIXES, url: str = "url", out: str = "domain_group"
 ) -> DataFrame:
     """``df`` plus the registered domain of ``url``.
 
     The longest matching suffix wins. Without a suffix the last label is the group, an IP address is its own
-    group, no host gives "". The rules are broadcast once and looked up with the last one, two, … labels of the
-    host, which leaves the rows where they are: no explode, no grouping, no shuffle of ``df``.
+    group, no host gives "". The rules, of any number, are written as a table and joined with the last one, two, …
+    labels of the host. The optimiser knows the table's size and broadcasts it while it is small, which leaves the
+    rows where they are: no explode, no grouping, no shuffle of ``df``.
     """
-    by_key = _rules_by_key(rules)
-    if len(by_key) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} suffix rules")
-    deepest = max((key.count(".") + 1 for key in by_key), default=0)
-    lookup = df.sparkSession.createDataFrame(
-        [(key, tuple(kinds)) for key, kinds in by_key.items()],
-        "key string, rule struct<exact: boolean, wild: boolean, exempt: boolean>",
-    )
+    if not isinstance(rules, DataFrame):
+        rules = df.sparkSession.createDataFrame([(r,) for r in rules], "rule string")
+    lookup = materialize(_rule_table(rules), "suffix-rules")
+    deepest = lookup.agg(F.max(F.size(F.split("key", r"\."))).alias("d")).first()["d"] or 0
     step = df.withColumn("_host", url_host(F.col(url)))
     step = step.withColumn("_labels", F.when(F.col("_host") == "", 0).otherwise(F.size(F.split("_host", r"\."))))
     found, exempt = [F.lit(0)], []
     for depth in range(1, deepest + 1):
         tail = F.when(F.col("_labels") >= depth, F.substring_index("_host", ".", -depth))
         side = lookup.select(F.col("key").alias(f"_k{depth}"), F.col("rule").alias(f"_r{depth}"))
-        step = step.join(F.broadcast(side), tail == F.col(f"_k{depth}"), "left")
+        step = step.join(side, tail == F.col(f"_k{depth}"), "left")
         rule = F.col(f"_r{depth}")
         found.append(F.when(rule["exact"], depth).otherwise(0))
         found.append(F.when(rule["wild"] & (F.col("_labels") > depth), depth + 1).otherwise(0))

@@ -15,8 +15,8 @@ def lookup_join(
     """``rows`` with the columns of ``lookup`` (one row per ``key``, ``count`` = its rows, ``total`` = all rows).
 
     Hot keys, fewer than ``HOT_SHARE`` by definition, are broadcast. Their rows then carry a key of their own
-    that matches nothing, so they spread over all tasks of the ordinary join that serves the other keys.
-    ``key`` must be a string column. All rows stay, ``how`` is ``left`` or ``inner``.
+    that matches nothing, so they spread over all tasks of the ordinary join that serves the other keys. Rows
+    without a key, which may be most of them, spread in the same way. ``key`` must be a string column. All rows stay, ``how`` is ``left`` or ``inner``.
     """
     values = [c for c in lookup.columns if c not in (key, count)]
     limit = total // HOT_SHARE
@@ -27,7 +27,7 @@ def lookup_join(
     )
     step = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
     spread = F.concat(F.lit("\x00"), F.col(row_id).cast("string"))
-    step = step.withColumn("_join_key", F.when(F.col("_hot").isNull(), F.col(key)).otherwise(spread))
+    step = step.withColumn("_join_key", F.when(F.col("_hot").isNull() & F.col(key).isNotNull(), F.col(key)).otherwise(spread))
     step = step.join(cold, F.col("_join_key") == F.col("_cold_key"), "left")
     step = step.withColumn("_value", F.coalesce("_hot", "_cold"))
     if how == "inner":

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def explode_urls(df: DataFrame, key: str = "id", urls: str = "urls") -> DataFrame:
-    """One row per URL of an e-mail with its position; an e-mail without URLs keeps one row with null."""
-    return df.select(key, F.posexplode_outer(urls).alias("pos", "url"))
+def explode_urls(df: DataFrame, key: str = "id", urls: str = "urls", outer: bool = True) -> DataFrame:
+    """One row per URL of an e-mail with its position; an e-mail without URLs keeps one row with null if ``outer``."""
+    return df.select(key, (F.posexplode_outer if outer else F.posexplode)(urls).alias("pos", "url"))
 
 
 def url_totals(df: DataFrame, urls: str = "urls") -> DataFrame:

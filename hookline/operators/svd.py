@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +19,7 @@ N_COMPONENTS = 300
 ITERATIONS = 5
 OVERSAMPLING = 10
 SEED = 42
+_ROWS = 256  # rows multiplied at a time in a task
 # The block (vocabulary x columns, 8 bytes each) travels to every executor; a larger one is refused.
 MAX_BLOCK_BYTES = 1 << 30
 
@@ -40,11 +42,8 @@ class SvdModel:
         @F.pandas_udf("array<float>")
         def project(indices: pd.Series, values: pd.Series) -> pd.Series:
             factors = shared.value
-            rows = [
-                np.asarray(w, dtype=np.float64) @ factors[np.asarray(i, dtype=np.int64)]
-                for i, w in zip(indices, values)
-            ]
-            return pd.Series([row.astype(np.float32) for row in rows])
+            done = [rows for _, _, _, rows in _products(indices, values, factors)]
+            return pd.Series(list(np.concatenate(done).astype(np.float32)) if done else [], dtype=object)
 
         return weights.withColumn(out, project("indices", "weights"))
 
@@ -61,6 +60,21 @@ class SvdModel:
         return cls(np.array([np.asarray(f, dtype=np.float32) for f in factors]), values.to_numpy())
 
 
+def _products(indices, values, block: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Some rows at a time: the terms and weights of their cells, each cell's row, and the rows times ``block``."""
+    for low in range(0, len(indices), _ROWS):
+        some, weights = indices[low : low + _ROWS], values[low : low + _ROWS]
+        lengths = np.fromiter(map(len, some), np.int64, len(some))
+        terms = np.concatenate([*some, np.zeros(0)]).astype(np.int64)
+        cells = np.concatenate([*weights, np.zeros(0)]).astype(np.float64)
+        out = np.zeros((len(some), block.shape[1]))
+        filled = np.flatnonzero(lengths)
+        if len(filled):
+            starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))[filled]
+            out[filled] = np.add.reduceat(cells[:, None] * block[terms], starts, axis=0)
+        yield terms, cells, np.repeat(np.arange(len(some)), lengths), out
+
+
 def _gram_times(rows: DataFrame, block: np.ndarray) -> np.ndarray:
     """A'A times a dense block, for the sparse rows A.
 
@@ -70,36 +84,44 @@ def _gram_times(rows: DataFrame, block: np.ndarray) -> np.ndarray:
     spark = rows.sparkSession
     shared = spark.sparkContext.broadcast(block)
     shape = block.shape
-    schema = "idx int, part array<double>"
+    schema = "idx int, part binary"
 
-    def emit(total: np.ndarray, met: np.ndarray) -> Iterator[pd.DataFrame]:
+    def emit(total: np.ndarray, met: np.ndarray) -> Iterator[pa.RecordBatch]:
         terms = np.flatnonzero(met)
         for start in range(0, len(terms), 4096):
             some = terms[start : start + 4096]
-            yield pd.DataFrame({"idx": some.astype(np.int32), "part": list(total[some])})
+            parts = pa.array([row.tobytes() for row in total[some]], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), parts], names=["idx", "part"])
 
-    def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q, total, met = shared.value, np.zeros(shape), np.zeros(shape[0], dtype=bool)
         for batch in batches:
-            for i, w in zip(batch["indices"], batch["weights"]):
-                if len(i):
-                    total[i] += np.outer(w, w @ q[i])
-                    met[i] = True
+            lists = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for terms, cells, owner, product in _products(*lists, q):
+                if len(terms):
+                    order = np.argsort(terms, kind="stable")
+                    named, first = np.unique(terms[order], return_index=True)
+                    total[named] += np.add.reduceat((cells[:, None] * product[owner])[order], first, axis=0)
+                    met[named] = True
         yield from emit(total, met)
 
-    def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, met = np.zeros(shape), np.zeros(shape[0], dtype=bool)
         for batch in batches:
-            np.add.at(total, batch["idx"].to_numpy(), np.stack(batch["part"].to_numpy()))
-            met[batch["idx"].to_numpy()] = True
+            terms = batch.column(0).to_numpy()
+            order = np.argsort(terms, kind="stable")
+            named, first = np.unique(terms[order], return_index=True)
+            parts = np.frombuffer(b"".join(batch.column(1).to_pylist())).reshape(len(terms), shape[1])
+            total[named] += np.add.reduceat(parts[order], first, axis=0)
+            met[named] = True
         yield from emit(total, met)
 
-    parts = rows.select("indices", "weights").mapInPandas(multiply, schema)
-    sums = parts.repartition("idx").mapInPandas(add_up, schema).toPandas()
+    parts = rows.select("indices", "weights").mapInArrow(multiply, schema)
+    sums = parts.repartition("idx").mapInArrow(add_up, schema).collect()  # one row a term
     shared.unpersist()
     out = np.zeros(shape)
-    if len(sums):
-        out[sums["idx"].to_numpy()] = np.stack(sums["part"].to_numpy())
+    for row in sums:
+        out[row["idx"]] = np.frombuffer(row["part"])
     return out
 
 
@@ -117,7 +139,6 @@ def fit_svd(
     if model.size * width * 8 > MAX_BLOCK_BYTES:
         raise ValueError(f"{model.size} terms x {width} columns exceed {MAX_BLOCK_BYTES} bytes")
     rows = materialize(weights.select("indices", "weights"), "svd-rows")
-    rows = rows.coalesce(max(weights.sparkSession.sparkContext.defaultParallelism, 1))
     block = np.linalg.qr(np.random.default_rng(seed).standard_normal((model.size, width)))[0]
     for _ in range(iterations):
         block = np.linalg.qr(_gram_times(rows, block))[0]

@@ -5,18 +5,18 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml.linalg import SparseVector, VectorUDT
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import WS_CLASS, text_or_empty
 from ..session import materialize
+from .ordered import sequence_id
 
 # Settings of the vectoriser.
 NGRAM_RANGE = (3, 5)
 MIN_DOCUMENTS = 3
 MAX_FEATURES = 100_000
-# A vocabulary up to this size is broadcast (about 100 bytes a row); a larger one is joined by the optimiser.
-BROADCAST_VOCABULARY = 500_000
+_STEPS = 64  # counts are first told apart by this part of their binary logarithm
 
 
 def ngram_text(c: Column) -> Column:
@@ -65,9 +65,7 @@ class TfidfModel:
         in place: counting, the vocabulary lookup, gathering a text's own n-grams, and the norm.
         """
         counts = gram_counts(df, key, text, self.ngram_range)
-        known = self.vocabulary.select("gram", "idx", "idf")
-        if self.size <= BROADCAST_VOCABULARY:
-            known = F.broadcast(known)
+        known = self.vocabulary.select("gram", "idx", "idf")  # a written table: the optimiser knows its size
         weighted = counts.join(known, "gram", "left").select(
             key,
             F.when(
@@ -91,8 +89,6 @@ class TfidfModel:
             key, F.explode(F.arrays_zip("indices", "weights")).alias("cell")
         )
         known = self.vocabulary.select("gram", "idx")
-        if self.size <= BROADCAST_VOCABULARY:
-            known = F.broadcast(known)
         return cells.join(known, F.col("cell.indices") == F.col("idx")).select(
             key, "gram", F.col("cell.weights").alias("weight")
         )
@@ -135,21 +131,18 @@ def fit_tfidf(
     Ties at the cut go to the alphabetically smaller gram; indices follow the alphabet.
     """
     n_documents = df.count()
-    kept = (
+    grams = materialize(
         gram_counts(df, key, text, ngram_range)
         .where(F.col("gram").isNotNull())
         .groupBy("gram")
         .agg(F.sum("tf").alias("tf"), F.count("*").alias("df"))
-        .where(F.col("df") >= min_documents)
-        .orderBy(F.desc("tf"), "gram")
-        .limit(max_features)
+        .where(F.col("df") >= min_documents),
+        "grams",
     )
-    # At most max_features rows from here on, so numbering them in one task is bounded.
-
-    alphabet = Window.partitionBy(F.lit(0)).orderBy("gram")
+    kept = sequence_id(_most_frequent(grams, max_features), ["gram"], "place")
     vocabulary = kept.select(
         "gram",
-        (F.row_number().over(alphabet) - 1).alias("idx"),
+        (F.col("place") - 1).cast("int").alias("idx"),
         "tf",
         "df",
         (F.ln((1.0 + n_documents) / (1.0 + F.col("df"))) + 1.0).alias("idf"),
@@ -158,6 +151,31 @@ def fit_tfidf(
     return TfidfModel(vocabulary, n_documents, vocabulary.count(), ngram_range)
 
 
+def _cut(groups: list, room: int) -> tuple[float, int]:
+    """The highest value whose group no longer fits, and the room left for it; (value, count) pairs in any order."""
+    for value, n in sorted(groups, reverse=True):
+        if n > room:
+            return value, room
+        room -= n
+    return float("-inf"), 0
+
+
+def _most_frequent(grams: DataFrame, most: int) -> DataFrame:
+    """The ``most`` rows with the highest tf, ties at the cut by gram, without sorting the table in one task.
+
+    The cut is found from counts by step of log2(tf), then by tf within the step in which it lies. Only the rows
+    with exactly the tf of the cut are put in order, by many tasks.
+    """
+    step = F.floor(F.log2("tf") * _STEPS)
+    at_step, room = _cut([(r["step"], r["count"]) for r in grams.groupBy(step.alias("step")).count().collect()], most)
+    if at_step == float("-inf"):
+        return grams
+    inside = grams.where(step == at_step).groupBy("tf").count().collect()  # the counts within one step
+    at_tf, room = _cut([(r["tf"], r["count"]) for r in inside], room)
+    ties = sequence_id(grams.where(F.col("tf") == at_tf), ["gram"], "place").where(F.col("place") <= room).drop("place")
+    return grams.where(F.col("tf") > at_tf).unionByName(ties)
+
+
 def tfidf_stats(model: TfidfModel, weights: DataFrame) -> DataFrame:
     """Vocabulary size, matrix rows and non-zero cells."""
     return weights.agg(F.count("*").alias("n_rows"), F.sum(F.size("indices")).alias("non_zeros")).select(

@@ -13,19 +13,20 @@ from ..operators import profile as P
 from ..operators.dedup import duplicate_counts, label_conflicts
 from ..operators.overlap import split_overlap
 from ..sources.columns import require
-from ..sources.readers import file_stem, read_csv
+from ..sources.readers import by_header
 
 
 def audit_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(file, n_rows, n_columns, column_names, n_null) of each CSV file."""
+    """(file, n_rows, n_columns, column_names, n_null) of each CSV file; one scan for each distinct header."""
 
-    def one(path: str) -> DataFrame:
-        df = read_csv(spark, path)
-        nulls = P.null_counts(df, only_missing=False).agg(F.sum("n_null").alias("n_null"))
-        name = F.lit(file_stem(path))
-        return P.shape(df).withColumn("file", name).join(nulls.withColumn("file", name), "file")
+    def one(table: DataFrame) -> DataFrame:
+        names = [c for c in table.columns if c not in ("_malformed", "source_file")]
+        nulls = sum((F.count_if(F.col(f"`{c}`").isNull()) for c in names), F.lit(0))
+        return table.groupBy(F.col("source_file").alias("file")).agg(F.count("*").alias("n_rows"), nulls.alias("n_null")).select(
+            "file", "n_rows", F.lit(len(names)).cast("bigint").alias("n_columns"), F.lit(",".join(names)).alias("column_names"), "n_null"
+        )
 
-    return reduce(DataFrame.unionByName, [one(p) for p in paths])
+    return reduce(DataFrame.unionByName, [one(t) for t in by_header(spark, paths)])
 
 
 def validate_splits(dataset: DataFrame) -> dict[str, DataFrame]:

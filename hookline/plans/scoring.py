@@ -33,22 +33,23 @@ def as_messages(emails: DataFrame, key: str) -> DataFrame:
 
 
 def score_emails(emails: DataFrame, models: EmailModels, key: str = "id") -> DataFrame:
-    """(key, response fields) of e-mails with a unique key.
+    """(key, response fields), one response for each input row: a mail that is sent again is scored again.
 
     One pass: both models run where the rows are, and the URL rows of an e-mail, which lie side by side, are
-    reduced before the only shuffle. That carries the key, two scores and the URL list; message bodies stay in
-    their tasks.
+    reduced before the only shuffle. That carries a row number, the key, two scores and the URL list; message
+    bodies stay in their tasks.
     """
-    scored_text = score_text(models.text, as_messages(emails, key), "message")
-    rows = scored_text.select(key, "text_probability", "urls", F.posexplode_outer("urls").alias("pos", "url"))
+    messages = as_messages(emails, key).withColumn("_row", F.monotonically_increasing_id())
+    scored_text = score_text(models.text, messages, "message")
+    rows = scored_text.select("_row", key, "text_probability", "urls", F.posexplode_outer("urls").alias("pos", "url"))
     # Only the first row of an e-mail carries its list, or a mail with many URLs would grow by their square.
-    mail = F.when(F.coalesce("pos", F.lit(0)) == 0, F.struct("text_probability", "urls")).alias("mail")
-    scored = score_urls(models.url, rows.select(key, "url", mail)).groupBy(key).agg(
+    mail = F.when(F.coalesce("pos", F.lit(0)) == 0, F.struct(F.col(key).alias("key"), "text_probability", "urls")).alias("mail")
+    scored = score_urls(models.url, rows.select("_row", "url", mail)).groupBy("_row").agg(
         F.coalesce(F.max("probability"), F.lit(0.0)).alias("url_probability"),
         F.any_value("mail", ignoreNulls=True).alias("mail"),
     )
     response = score_response(F.col("mail.text_probability"), F.col("url_probability"), F.col("mail.urls"))
-    return scored.select(key, response.alias("response")).select(key, "response.*")
+    return scored.select(F.col("mail.key").alias(key), response.alias("response")).select(key, "response.*")
 
 
 def score_distinct_urls(exploded: DataFrame, model: UrlPlusModel, key: str) -> DataFrame:
@@ -81,7 +82,7 @@ def _score_table(
     scored = materialize(scored, "text-scores")
     if mode == "list" and scored.where(F.size("urls") > 0).isEmpty():
         raise ValueError("no URL in the whole table")
-    per_url = score_distinct_urls(explode_urls(scored, key), url_model, key)
+    per_url = score_distinct_urls(explode_urls(scored, key, outer=False), url_model, key)
     joined = join_scores(scored.withColumn("url_count", F.size("urls")), max_url_score(per_url, key), key)
     return joined.select(key, *keep, "text_probability", "url_probability", "url_count")
 

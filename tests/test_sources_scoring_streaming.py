@@ -34,6 +34,32 @@ def test_many_files(spark, tmp_path, caplog):
     assert readers.read_many(spark, [str(tmp_path / "d.csv")]) is None
 
 
+def test_malformed_rows_put_their_file_out(spark, tmp_path):
+    (tmp_path / "fine.csv").write_text('id,label\n1,"a\nb"\n')
+    (tmp_path / "long.csv").write_text("id,label\n1,x\n2,phish,extra,more\n")
+    (tmp_path / "short.csv").write_text("id,label\n1,x\n2\n")
+    (tmp_path / "with space+.csv").write_text("label,id\nx,7\n")
+    rows = readers.read_many(spark, readers.list_files(spark, str(tmp_path))).collect()
+    assert sorted((r["source"], r["id"], r["label"]) for r in rows) == [("curated_fine", "1", "a\nb"), ("curated_with space+", "7", "x")]
+    assert readers.read_csv_or_none(spark, str(tmp_path / "long.csv")) is None
+    bad = [r["_malformed"] for t in readers.by_header(spark, [str(tmp_path / "long.csv")]) for r in t.collect()]
+    assert bad == [None, "2,phish,extra,more"]
+
+
+def test_jobs_and_scans_do_not_grow_with_the_files(spark, tmp_path):
+    for i in range(50):
+        (tmp_path / f"f{i}.csv").write_text(f"id,label\n{i},x\n" if i % 2 else f"label,id\nx,{i}\n")
+    paths = [str(tmp_path / f"f{i}.csv") for i in range(50)]
+    tracker = spark.sparkContext.statusTracker()
+    jobs = {}
+    for n in (36, 50):  # both beyond 32, from where Spark lists files in a job of its own
+        spark.sparkContext.setJobGroup(f"csv-{n}", "")
+        df = readers.read_many(spark, paths[:n])
+        jobs[n] = len(tracker.getJobIdsForGroup(f"csv-{n}"))
+        assert df._jdf.queryExecution().executedPlan().toString().count("FileScan csv") == 2 and df.count() == n
+    assert jobs[50] == jobs[36]
+
+
 def test_aliases(spark):
     df = spark.createDataFrame([(1, 2, 3, 4)], "Target int, LABEL int, Message int, raw_text int")
     assert columns.first_in_table(df, columns.ANY_LABEL) == "Target"
