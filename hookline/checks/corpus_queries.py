@@ -86,6 +86,36 @@ def src_multi(spark, sf):
     return readers.read_many(spark, paths).select("id", "source", "body", "sender", "label")
 
 
+@query(
+    "build_email_table",
+    D.ctes("emails", "prepared") + """SELECT row_number() OVER (ORDER BY id) AS id, source, subject, body, text, label FROM (
+      SELECT id, 'curated_mails' AS source, subject, body, text, label, row_number() OVER (PARTITION BY text, label ORDER BY id) AS rn FROM prepared)
+    WHERE rn = 1""",
+)
+def build_email_table(spark, sf):
+    """From CSV files to the prepared e-mail table: stacked, cleaned, one row for each text and label, numbered."""
+    base = scratch_path(spark, "email-files")
+    mails = views.emails(spark, sf).select("id", "subject", "sender", "body", "urls", "label")
+    writers.write_table(mails, f"{base}/mails.csv", "csv")
+    return C.prepare_email_files(spark, [f"{base}/mails.csv"]).select("id", "source", "subject", "body", "text", "label")
+
+
+@query(
+    "build_list_table",
+    D.ctes("urls", "list_mails", "listed") + "SELECT row_number() OVER (ORDER BY id) AS id, source, text, label FROM listed",
+)
+def build_list_table(spark, sf):
+    return C.distinct_numbered(text_parts(spark, sf)[1], "id").select("id", "source", "text", "label")
+
+
+@query(
+    "build_short_table",
+    D.ctes("short_texts", "shorts") + "SELECT row_number() OVER (ORDER BY id) AS id, source, text, label FROM shorts",
+)
+def build_short_table(spark, sf):
+    return C.distinct_numbered(text_parts(spark, sf)[2], "id").select("id", "source", "text", "label")
+
+
 @query("src_prune", D.ctes("urls") + "SELECT url, label FROM urls")
 def src_prune(spark, sf):
     return views.urls(spark, sf).select("url", "label")
@@ -100,8 +130,8 @@ def src_guard(spark, sf):
     """Usable rows of each file; none when it cannot be read, has no label column or holds a row with too many fields."""
     base, paths = _curated_folder(spark, sf)
     lines = views.emails(spark, sf).select(F.concat_ws(",", "id", F.lit("ham")).alias("line"))
-    rows = lines.unionByName(lines.limit(1).select(F.concat("line", F.lit(",more,fields")).alias("line"))).coalesce(1)
-    rows.selectExpr("line AS `id,label`").write.option("header", True).option("quote", "").csv(f"{base}/broken.csv")
+    header, long = (spark.range(1).select(F.lit(x).alias("line")) for x in ("id,label", "0,ham,more,fields"))
+    header.unionByName(lines).unionByName(long).coalesce(1).write.text(f"{base}/broken.csv")
     paths = [*paths, f"{base}/broken.csv"]
     counts = []
     for path in paths:

@@ -122,7 +122,7 @@ _ANSWERS = (
 def _verdict_sql() -> str:
     return (
         _MAIL.rstrip() + ", " + _ANSWERS
-        + "SELECT id, flag AS is_phishing, CASE WHEN kind <> 3 THEN body END AS explanation, "
+        + "SELECT id, flag AS is_phishing, CAST(flag AS VARCHAR) AS flag, CASE WHEN kind <> 3 THEN body END AS explanation, "
         f"CASE WHEN kind = 3 THEN '{V.PARSE_ERROR}' END AS error, raw AS raw_response FROM answers"
     )
 
@@ -130,14 +130,14 @@ def _verdict_sql() -> str:
 @query("txt_verdict", _verdict_sql())
 def txt_verdict(spark, sf):
     return V.with_verdict(verdict_responses(spark, sf)).select(
-        "id", "is_phishing", "explanation", "error", "raw_response"
+        "id", "is_phishing", "flag", "explanation", "error", "raw_response"
     )
 
 
 @query("txt_verdict_test", _verdict_sql())
 def txt_verdict_test(spark, sf):
     return V.with_verdict(verdict_responses(spark, sf), mode="test").select(
-        "id", "is_phishing", "explanation", "error", "raw_response"
+        "id", "is_phishing", "flag", "explanation", "error", "raw_response"
     )
 
 

@@ -53,10 +53,11 @@ def strip_fence(response: Column, mode: str = "live") -> Column:
 
 
 def with_verdict(df: DataFrame, response: str = "response", mode: str = "live") -> DataFrame:
-    """``df`` plus ``is_phishing``, ``explanation``, ``error``, ``raw_response`` and ``predicted``.
+    """``df`` plus ``is_phishing``, ``flag``, ``explanation``, ``error``, ``raw_response`` and ``predicted``.
 
-    Anything that is not a JSON object is an error and keeps the raw response. A missing key is null, not an
-    error. ``predicted`` is 1 when the value under ``is_phishing`` is neither null, false, zero nor empty.
+    Anything that is not a JSON object is an error and keeps the raw response; so are a repeated key and ``NaN``. A
+    missing key is null, not an error. ``flag`` is the JSON text of the answer as given, ``is_phishing`` the same as a
+    boolean where it is one. ``predicted`` is 1 when the value under ``is_phishing`` is neither null, false, zero nor empty.
     """
     step = df.withColumn("_v", F.try_parse_json(strip_fence(F.col(response), mode)))
     is_object = F.coalesce(F.schema_of_variant("_v").startswith("OBJECT"), F.lit(False))
@@ -68,6 +69,7 @@ def with_verdict(df: DataFrame, response: str = "response", mode: str = "live")
     return step.withColumns(
         {
             "is_phishing": F.try_variant_get("_v", "$.is_phishing", "boolean"),
+            "flag": flag_json,
             "explanation": F.try_variant_get("_v", "$.explanation", "string"),
             "error": F.when(failed, PARSE_ERROR),
             "raw_response": F.when(failed, F.col(response)),

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SEED = 42
-MAX_LABELS = 100
+MAX_LABELS = 100  # a label with more values is refused, as it is no class label; nothing is dropped
 SPLITS = ["train", "val", "test"]
 
 

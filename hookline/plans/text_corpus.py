@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.labels import label_from_number, label_from_text
@@ -20,7 +20,7 @@ from ..sources.columns import (
     optional,
     require,
 )
-from ..sources.readers import union_sources
+from ..sources.readers import read_many, union_sources
 
 
 def _column(df: DataFrame, name: str | None, what: str) -> Column:
@@ -43,6 +43,23 @@ def prepare_email(raw: DataFrame, key: str, source: Column) -> DataFrame:
     return cleaned.select(key, "source", "subject", "sender", "body", "url", text.alias("text"), "label")
 
 
+def distinct_numbered(prepared: DataFrame, key: str) -> DataFrame:
+    """A prepared table with the first row of each (text, label), numbered 1, 2, … as ``id`` in the order of its key."""
+    first = distinct_text_label(prepared.withColumnRenamed(key, "_key"), ["_key"])
+    numbered = sequence_id(first, ["_key"])
+    return numbered.select("id", *[c for c in prepared.columns if c not in (key, "id")])
+
+
+def prepare_email_files(spark: SparkSession, paths: list[str], key: str = "id") -> DataFrame:
+    """The prepared e-mail table from CSV files: all sound files stacked, rows without a usable label gone, one row
+    for each (text, label), numbered. ``key`` is a number that is unique over all files."""
+    raw = read_many(spark, paths)
+    if raw is None:
+        raise ValueError("no readable file with a label column")
+    rows = prepare_email(raw.withColumn(key, F.col(key).cast("bigint")), key, F.col("source"))
+    return distinct_numbered(rows, key)
+
+
 def prepare_list_mail(raw: DataFrame, key: str, source: str = "SpaPhish") -> DataFrame:
     """(key, source, subject, body, url, text, label) of a mail table whose URLs sit in a list-like column."""
     label = _column(raw, first_in_table(raw, ANY_LABEL), "label")

@@ -75,6 +75,15 @@ def test_tfidf_needs_one_exchange(fitted):
     assert plan.count("Exchange hashpartitioning") == 1
 
 
+def test_vocabulary_cut(spark):
+    grams = spark.createDataFrame([(f"g{i:03d}", 1 + i % 7, 3) for i in range(200)], "gram string, tf long, df long")
+    rows = sorted(grams.collect(), key=lambda r: (-r["tf"], r["gram"]))
+    for most in (0, 1, 28, 29, 100, 199, 200, 500):
+        kept = TF._most_frequent(grams, most)
+        assert sorted(r["gram"] for r in kept.collect()) == sorted(r["gram"] for r in rows[:most])
+        assert "TakeOrdered" not in kept._jdf.queryExecution().executedPlan().toString()
+
+
 def test_tfidf_save_and_load(spark, fitted, tmp_path):
     df, model, weights = fitted
     model.save(str(tmp_path / "m"))

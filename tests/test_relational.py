@@ -30,6 +30,14 @@ def test_keep_first_with_hot_message(spark):
     assert (counts["rows"], counts["duplicate_rows"]) == (600, 600 - len({r[2] for r in rows}))
 
 
+def test_keep_first_aggregates_hashes_only(spark):
+    df = spark.range(200).selectExpr("id", "cast(id % 3 AS int) AS priority", "concat('t', id % 9) AS text", "cast(id % 2 AS int) AS label")
+    for out in (DD.distinct_text_label(df, ["id"]), DD.distinct_messages(df, ["priority", "id"])):
+        out.collect()
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "HashAggregate" in plan and "SortAggregate" not in plan and "ObjectHashAggregate" not in plan
+
+
 def test_later_copy_loses_with_other_label(spark):
     a = spark.createDataFrame([(1, "mail", "Same  Text", 1), (2, "mail", " ", 0)], "id long, source string, text string, label int")
     b = spark.createDataFrame([(1, "x", "same text", 0), (2, "x", "new", 0), (3, "x", "bad label", 5)], "id long, source string, text string, label int")
@@ -93,6 +101,22 @@ def test_lookup_join_with_hot_key(spark):
     assert inner.count() == sum(1 for _, k in rows if k and k != "k1")
 
 
+def test_rows_without_a_key_spread_over_the_tasks(spark):
+    off = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "8"}
+    before = {k: spark.conf.get(k) for k in off}
+    for k, v in off.items():
+        spark.conf.set(k, v)
+    try:
+        df = spark.range(20000).selectExpr("id", "CASE WHEN id % 4 = 0 THEN concat('k', id) END AS key")
+        lookup = df.where("key IS NOT NULL").selectExpr("key", "id AS size", "1L AS n")
+        out = lookup_join(df, lookup, "key", "id", "n", total=5000).withColumn("task", F.spark_partition_id())
+        per_task = [r["count"] for r in out.groupBy("task").count().collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(per_task) == 20000 and len(per_task) == 8 and max(per_task) < 2 * 20000 / 8
+
+
 def split_by_hand(rows, scheme):
     """rows: (id, label). Plain statement of the contract."""
     sch = S.SCHEMES[scheme]

@@ -146,6 +146,12 @@ MAILS = [
 MAIL_SCHEMA = "id long, subject string, sender string, body string"
 
 
+def test_a_mail_that_is_sent_again_is_scored_again(spark, models):
+    mails = spark.createDataFrame([(1, "a", "one"), (2, "b", "two"), (1, "c", "three http://x.com/y")], "id long, subject string, body string")
+    rows = sorted((r["id"], r["url_count"]) for r in SC.score_emails(mails, models).collect())
+    assert rows == [(1, 0), (1, 1), (2, 0)]
+
+
 def test_score_emails(spark, models):
     mails = spark.createDataFrame(MAILS, MAIL_SCHEMA)
     rows = {r["id"]: r for r in SC.score_emails(mails, models).collect()}
