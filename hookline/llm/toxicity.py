@@ -126,7 +126,9 @@ class SpanTagger:
         return [math.log1p(p.sum()), 30 * p.sum() / (len(p) + 30), float(p.max())] if len(p) else [0.0, 0.0, 0.0]
 
     def score(self, p: np.ndarray) -> float:
-        """Between 0 and 1; 0.7 is the cut with the best F1 among the rows learned from."""
+        """Between 0 and 1; 0.7 is the cut with the best F1 among the rows learned from. Without words it is 0."""
+        if not len(p):
+            return 0.0
         x = sum(w * v for w, v in zip(self.combine, self.summary(p), strict=True)) - self.shift + logit(0.7)
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, x))))
 
