@@ -108,7 +108,7 @@ def _shift(rows: DataFrame, targets: DataFrame, most: int, scratch: Scratch) ->
     ])).alias("at")).where("at is not null")
     steps = scratch.table(steps)
     start = base.groupBy(*_KEY).agg(F.sum(F.col("size") * F.col("least")).alias("sum"))
-    range_ = targets.join(start, _KEY).select(*_KEY, "target", "sum", F.lit(-1.0).alias("low"), F.lit(2.0 / n).alias("width"))
+    range_ = scratch.table(targets.join(start, _KEY).select(*_KEY, "target", "sum", F.lit(-1.0).alias("low"), F.lit(2.0 / n).alias("width")))
     for _ in range(2):
         cells = (
             steps.join(range_, _KEY).withColumn("cell", F.floor((F.col("at") - F.col("low")) / F.col("width")))
