@@ -6,7 +6,7 @@ template. What stood in the slots must then change in a consistent way: equal va
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Set
 
 import numpy as np
 import pyarrow as pa
@@ -25,17 +25,17 @@ UNITS = frozenset(
     "litres degrees celsius fahrenheit $ € £ % °c °f".split()
 )
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "$%")
-_NUM, _NAME, _UNIT = "<num>", "<name>", "<unit>"
+_NUM, _NAME, _UNIT, _HEAD = "<num>", "<name>", "<unit>", "<head>"
 _BASE = 0x9E3779B97F4A7C15  # odd, so powers never vanish
 _MASK = (1 << 64) - 1
 _CACHE = 1 << 20
-_BITS = 22
+_CHUNK = 1 << 15  # words looked up at once
 
 
 class _Forms(dict):
-    """Blank-separated piece to (hash, kind, value, ends a sentence); kind 0 word, 1 slot, 2 may be a name, -1 nothing."""
+    """Blank-separated piece to (hash, kind, value, ends a sentence, capital); kind 0 word, 1 slot, 2 may be a name, -1 nothing."""
 
-    def __missing__(self, piece: str) -> tuple[int, int, str, bool]:
+    def __missing__(self, piece: str) -> tuple[int, int, str, bool, bool]:
         if len(self) >= _CACHE:
             self.clear()
         core = piece.strip(_EDGE)
@@ -43,53 +43,57 @@ class _Forms(dict):
         bare = core.replace(",", "").replace(".", "").replace("%", "").replace("$", "")
         low = core.lower()
         if not core:
-            found = (0, -1, "", ends)
+            found = (0, -1, "", ends, False)
         elif bare.isdigit():
-            found = (_HASH[_NUM], 1, _NUM + bare, ends)
-        elif low in UNITS:
-            found = (_HASH[_UNIT], 1, _UNIT + low, ends)
+            found = (_HASH[_NUM], 1, _NUM + bare, ends, False)
+        elif low in UNITS and low != "in":
+            found = (_HASH[_UNIT], 1, _UNIT + low, ends, False)
         else:
-            named = core[0].isupper() and not core.isupper()
-            found = (xxhash.xxh64_intdigest(low.encode()), 2 if named else 0, low, ends)
+            capital = core[0].isupper()
+            found = (xxhash.xxh64_intdigest(low.encode()), 2 if capital and not core.isupper() else 0, low, ends, capital)
         self[piece] = found
         return found
 
 
-_HASH = {x: xxhash.xxh64_intdigest(x.encode()) for x in (_NUM, _NAME, _UNIT)}
+_HASH = {x: xxhash.xxh64_intdigest(x.encode()) for x in (_NUM, _NAME, _UNIT, "in")}
 
 
 _FORMS = _Forms()  # of this Python worker, bounded
 
 
-def template(text: str | None, forms: _Forms) -> tuple[list[int], list[str]]:
-    """Hashes of the template's words and, beside them, the value of each slot ("" for a plain word).
+def template(text: str | None, forms: _Forms, names: Set[str] = frozenset()) -> tuple[list[int], list[str]]:
+    """Hashes of the words of a benchmark text and, beside them, the value of each slot ("" for a plain word).
 
-    A capitalised word counts as a name unless it begins a sentence or a line. Pieces without a letter, digit or unit
-    are dropped. Null is empty.
+    A name is a word of ``names`` in any case, or one that is capitalised within a sentence. A capitalised word that begins
+    a sentence or a line may be a name or not, and is a ``<head>``. "in" is a unit after a number only. Pieces without a
+    letter, digit or unit are dropped. Null is empty.
     """
     hashes: list[int] = []
     slots: list[str] = []
     for line in (text or "").split("\n"):
         begins = True
         for piece in line.split():
-            digest, kind, value, ends = forms[piece]
+            digest, kind, value, ends, _ = forms[piece]
+            if kind == 0 and value == "in" and hashes and hashes[-1] == _HASH[_NUM]:
+                digest, kind, value = _HASH[_UNIT], 1, _UNIT + value
             if kind >= 0:
-                if kind == 2 and not begins:
-                    hashes.append(_HASH[_NAME])
+                hashes.append(digest)
+                if kind == 1:
+                    slots.append(value)
+                elif value in names or (kind == 2 and not begins):
                     slots.append(_NAME + value)
                 else:
-                    hashes.append(digest)
-                    slots.append(value if kind == 1 else "")
+                    slots.append(_HEAD + value if kind == 2 else "")
             begins = ends or (begins and kind < 0)
     return hashes, slots
 
 
 def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
-    """64-bit hashes of all windows of ``width`` words, by their polynomial in a fixed base."""
+    """64-bit hashes of all windows of ``width`` words, by their polynomial in a fixed base. A word of 0 adds nothing."""
     out = np.zeros(max(0, len(hashes) - width + 1), np.uint64)
     for k in range(width):
         out = out * np.uint64(_BASE) + hashes[k : k + len(out)]
-    return out ^ (out >> np.uint64(29)) ^ np.uint64(width * 0x2545F4914F6CDD1D & _MASK)
+    return out
 
 
 def consistent(ours: list[str], theirs: list[str]) -> bool:
@@ -102,62 +106,153 @@ def consistent(ours: list[str], theirs: list[str]) -> bool:
     return True
 
 
-def benchmark_windows(benchmark: DataFrame, item: str = "item_id", text: str = "text", width: int = 10, least: int = 5) -> DataFrame:
-    """(hash, width, item, place, words, slots) of every window of every item; equal ones once, under the smallest item.
+def benchmark_names(benchmark: DataFrame, text: str = "text") -> DataFrame:
+    """(name): the words that any item capitalises within a sentence, in lower case."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            slots = {s for body in batch.column(0).to_pylist() for s in template(body, _FORMS)[1]}
+            yield pa.RecordBatch.from_arrays([pa.array([s[len(_NAME) :] for s in slots if s.startswith(_NAME)], pa.string())], names=["name"])
+
+    return benchmark.select(F.col(text).alias("text")).mapInArrow(run, "name string").distinct()
 
-    An item shorter than ``width`` is one window of its own length. One with fewer than ``least`` words, too few to tell
-    it from ordinary language, gives no window. Null and empty items give none.
+
+def benchmark_windows(
+    benchmark: DataFrame, item: str = "item_id", text: str = "text", width: int = 10, least: int = 5, known: Set[str] = frozenset()
+) -> DataFrame:
+    """(hash, width, item, words, slots) of every window of every item; equal ones once, under the smallest item.
+
+    Names and heads are slots, with 0 for their word, so the hash is that of all other words. In a window with fewer than
+    two other words heads are plain words. An item shorter than ``width`` is one window of its own length. One with fewer
+    than ``least`` words, too few to tell it from ordinary language, gives no window. Null and empty items give none.
+    ``known`` are the names of the benchmark.
     """
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             out: list[tuple] = []
             for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                hashes, slots = template(body, _FORMS)
+                hashes, slots = template(body, _FORMS, known)
                 w = min(width, len(hashes))
                 if w < least:
                     continue
-                words = np.array(hashes, np.uint64)
-                for at, h in enumerate(window_hashes(words, w).tolist()):
-                    out.append((h - (1 << 64) if h >> 63 else h, w, name, at, words[at : at + w].view(np.int64).tolist(), slots[at : at + w]))
+                for at in range(len(hashes) - w + 1):
+                    words, own = hashes[at : at + w], slots[at : at + w]
+                    heads = sum(not s.startswith((_NAME, _HEAD)) for s in own) >= 2
+                    own = [(_NAME + s[len(_HEAD) :] if heads else "") if s.startswith(_HEAD) else s for s in own]
+                    words = np.array([0 if s.startswith(_NAME) else x for x, s in zip(words, own, strict=True)], np.uint64)
+                    out.append((int(window_hashes(words, w).view(np.int64)[0]), w, name, words.view(np.int64).tolist(), own))
             if out:
-                kinds = (pa.int64(), pa.int32(), batch.schema.field(0).type, pa.int32(), pa.list_(pa.int64()), pa.list_(pa.string()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["hash", "width", "item", "place", "words", "slots"])
+                kinds = (pa.int64(), pa.int32(), batch.schema.field(0).type, pa.list_(pa.int64()), pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["hash", "width", "item", "words", "slots"])
 
     kind = benchmark.schema[item].dataType.simpleString()
     found = benchmark.select(F.col(item).alias("item"), F.col(text).alias("text")).mapInArrow(
-        run, f"hash bigint, width int, item {kind}, place int, words array<bigint>, slots array<string>"
+        run, f"hash bigint, width int, item {kind}, words array<bigint>, slots array<string>"
     )
     return found.groupBy("hash", "width", "words", "slots").agg(F.min("item").alias("item"))
 
 
-class _Windows:
-    """Windows of a benchmark block, looked up first in a bit table, then by hash, word by word and slot by slot."""
+class _Places:
+    """The windows that have names at the same places: a bit table, sorted hashes, and the windows of each hash."""
 
-    def __init__(self, rows: list):
+    def __init__(self, rows: list, places: tuple[int, ...]):
+        self.places = places
         self.by_hash: dict[int, list[tuple]] = {}
         for r in rows:
-            words = [w & _MASK for w in r["words"]]
-            self.by_hash.setdefault(r["hash"] & _MASK, []).append((words, r["slots"], r["item"]))
-        self.widths = sorted({r["width"] for r in rows})
-        self.bits = np.zeros(1 << _BITS, np.bool_)
-        if rows:
-            self.bits[np.array(list(self.by_hash), np.uint64) & np.uint64((1 << _BITS) - 1)] = True
-
-    def hits(self, text: str | None, forms: _Forms) -> tuple[int, object]:
-        hashes, slots = template(text, forms)
-        words = np.array(hashes, np.uint64)
-        count, items = 0, []
-        for width in self.widths:
-            keys = window_hashes(words, width)
-            for at in np.nonzero(self.bits[keys & np.uint64((1 << _BITS) - 1)])[0].tolist():
-                same = [
-                    item for ws, ss, item in self.by_hash.get(int(keys[at]), ())
-                    if ws == hashes[at : at + width] and consistent(ss, slots[at : at + width])
-                ]
-                count += bool(same)
-                items += [x for x in same if x is not None]
-        return count, min(items, default=None)
+            self.by_hash.setdefault(r["hash"] & _MASK, []).append(([w & _MASK for w in r["words"]], r["slots"], r["item"]))
+        self.keys = np.array(sorted(self.by_hash), np.uint64)
+        size = max(14, (64 * len(self.keys)).bit_length())
+        self.shift = np.uint64(64 - size)
+        self.bits = np.zeros(1 << size, np.bool_)
+        self.bits[self.keys >> self.shift] = True
+
+    def find(self, whole: np.ndarray, parts: dict[int, np.ndarray]) -> Iterator[tuple[int, list[tuple]]]:
+        """Places in the text whose words, without those at the names, have the hash of windows; and these."""
+        keys = whole
+        for k in self.places:
+            keys = keys - parts[k]
+        at = np.nonzero(self.bits[keys >> self.shift])[0]
+        own = keys[at]
+        fits = self.keys[np.minimum(np.searchsorted(self.keys, own), len(self.keys) - 1)] == own
+        return ((i, self.by_hash[h]) for i, h in zip(at[fits].tolist(), own[fits].tolist(), strict=True))
+
+
+class _Windows:
+    """Windows of a benchmark block, looked up by the hash of all words but the names, then word by word and slot by slot.
+
+    What a document has in the place of a name is read by the window, so case and line breaks of the copy do not matter.
+    """
+
+    def __init__(self, rows: list, known: Set[str]):
+        self.known = known
+        groups: dict[tuple[int, tuple[int, ...]], list] = {}
+        for r in rows:
+            groups.setdefault((r["width"], tuple(k for k, s in enumerate(r["slots"]) if s.startswith(_NAME))), []).append(r)
+        self.by_width: dict[int, list[_Places]] = {}
+        for (width, places), own in sorted(groups.items()):
+            self.by_width.setdefault(width, []).append(_Places(own, places))
+
+    def hits(self, texts: list[str | None], forms: _Forms) -> list[tuple[int, object]]:
+        """For each text the number of its windows that are benchmark windows, and the smallest item of these."""
+        out: list[tuple[int, object]] = []
+        rows: list[tuple] = []
+        ends: list[int] = []
+        for i, text in enumerate(texts):
+            rows += [r for r in map(forms.__getitem__, (text or "").split()) if r[1] >= 0]
+            ends.append(len(rows))
+            if len(rows) >= _CHUNK or i == len(texts) - 1:
+                out += self._hits(rows, np.array(ends))
+                rows, ends = [], []
+        return out
+
+    def _hits(self, rows: list[tuple], ends: np.ndarray) -> list[tuple[int, object]]:
+        words = np.fromiter((r[0] for r in rows), np.uint64, len(rows))
+        inches = np.nonzero(words[1:] == np.uint64(_HASH["in"]))[0] + 1
+        inches = inches[(words[inches - 1] == np.uint64(_HASH[_NUM])) & ~np.isin(inches, ends)]
+        words[inches] = np.uint64(_HASH[_UNIT])
+        for i in inches.tolist():
+            rows[i] = (_HASH[_UNIT], 1, _UNIT + "in", rows[i][3], False)
+        counts, items = [0] * len(ends), [[] for _ in ends]
+        for width, groups in self.by_width.items():
+            whole = window_hashes(words, width)
+            parts = {k: words[k : k + len(whole)] * np.uint64(pow(_BASE, width - 1 - k, 1 << 64)) for g in groups for k in g.places}
+            found: dict[int, list] = {}
+            for group in groups:
+                for at, windows in group.find(whole, parts):
+                    same = [item for ws, ss, item in windows if self._fits(ws, ss, rows[at : at + width])]
+                    if same:
+                        found.setdefault(at, []).extend(same)
+            for at, same in found.items():
+                doc = int(np.searchsorted(ends, at, "right"))
+                if at + width <= ends[doc]:
+                    counts[doc] += 1
+                    items[doc] += [x for x in same if x is not None]
+        return [(n, min(i, default=None)) for n, i in zip(counts, items, strict=True)]
+
+    def _fits(self, ws: list[int], ss: list[str], rows: list[tuple]) -> bool:
+        """Whether the words of a text are those of a window but for the slots, and its slots map one to one.
+
+        A name may be replaced by a capitalised word or one the benchmark knows as a name; in a text without capitals by
+        any word, if four fifths of the window are equal.
+        """
+        theirs: list[str] = []
+        changed = other = 0
+        for w, s, (digest, kind, value, _, capital) in zip(ws, ss, rows, strict=True):
+            if s.startswith(_NAME):
+                if kind == 1:
+                    return False
+                theirs.append(_NAME + value)
+                if theirs[-1] != s:
+                    changed += 1
+                    other += not capital and value not in self.known
+            elif w != digest:
+                return False
+            else:
+                theirs.append(value if kind == 1 else "")
+        if other and (5 * changed > len(ss) or any(r[4] for r in rows)):
+            return False
+        return consistent(ss, theirs)
 
 
 def with_hits(
@@ -173,17 +268,18 @@ def with_hits(
     columns named like a result are replaced. An empty benchmark leaves 0 hits.
     """
     kind = benchmark.schema[item].dataType.simpleString()
-    found = scratch.table(benchmark_windows(benchmark, item, benchmark_text, width))
+    known = frozenset(r["name"] for r in benchmark_names(benchmark, benchmark_text).collect())
+    found = scratch.table(benchmark_windows(benchmark, item, benchmark_text, width, known=known))
     blocks = max(1, -(-found.count() // block))
     hits, first = names
     out = docs.withColumns({hits: F.lit(0).cast("long"), first: F.lit(None).cast(kind)})
     own_hits, own_first = fresh("block_hits", out), fresh("block_item", out)
     for k in range(blocks):
         part = found.where(F.pmod(F.xxhash64("hash"), F.lit(blocks)) == k).select("hash", "width", "words", "slots", "item")
-        sent = docs.sparkSession.sparkContext.broadcast(_Windows(part.collect()))  # about ``block`` rows
+        sent = docs.sparkSession.sparkContext.broadcast(_Windows(part.collect(), known))  # about ``block`` rows
 
         def make(texts, sent=sent):
-            pairs = [sent.value.hits(t, _FORMS) for t in texts]
+            pairs = sent.value.hits(texts, _FORMS)
             return [pa.array([n for n, _ in pairs], pa.int64()), pa.array([i for _, i in pairs], _arrow(kind))]
 
         step = append_columns(out, text, {own_hits: "bigint", own_first: kind}, make)

@@ -60,3 +60,29 @@ def test_odd_rows_and_empty(spark, odd, documents, scratch):
     assert renamed.columns[: len(odd.columns)] == odd.columns
     assert dc.with_hits(documents.limit(0), bench, scratch).count() == 0
     assert dc.with_hits(odd, bench.limit(0), scratch).where("hits > 0").count() == 0
+
+
+ALICE = "Alice has 5 apples. Bob gives her 3 more apples. Alice eats 2 of them. How many apples are left?"
+
+
+def test_names_at_the_head_of_sentences(spark, scratch):
+    other = ALICE.replace("Alice", "Carol").replace("Bob", "Dan").replace("5", "7")
+    same_twice = ALICE.replace("Bob", "Alice")
+    texts = [ALICE, other, other.replace(". ", ".\n"), "We know that " + other, other.upper(), ALICE.upper(), ALICE.lower(), other.lower(), same_twice]
+    got = hits(spark, scratch, texts, [(1, ALICE)])
+    assert all(got[k] == (11, 1) for k in range(8))
+    assert got[8][0] < 11
+    short = hits(spark, scratch, ["Carol gives Dan 8 apples", "who gives them 8 apples", "carol gives dan 8 apples"], [(1, "Alice gives Bob 3 apples")])
+    assert [short[k][0] for k in range(3)] == [1, 0, 0]
+
+
+def test_names_known_from_another_place_and_case(spark, scratch):
+    items = [(1, "alice sold the red boat for 9 coins to someone there"), (2, "We saw that Alice and Carol met at the old harbour")]
+    got = hits(spark, scratch, ["Zoe sold the red boat for 9 coins to someone there", "we saw that carol and alice met at the old harbour"], items)
+    assert got == {0: (2, 1), 1: (2, 2)}
+
+
+def test_in_is_a_unit_after_a_number_only(spark, scratch):
+    items = [(1, "they live in the small town by the sea and 5 in of rain fell")]
+    got = hits(spark, scratch, ["they live km the small town by the sea and", "town by the sea and 7 cm of rain fell"], items)
+    assert got == {0: (0, None), 1: (1, 1)}
