@@ -168,24 +168,30 @@ def _scored(model: GBTClassificationModel, rows: DataFrame) -> DataFrame:
 
 
 def fit_judge(found: DataFrame, scratch: Scratch, most: int = 20_000, trees: int = 10, depth: int = 4, precision: float = 0.9) -> SpanJudge:
-    """Trees learned from about ``most`` texts at most, drawn by hash; ``found`` should be a written table.
+    """Trees learned from ``most`` distinct texts at most, drawn by hash; ``found`` should be a written table.
 
     A candidate is taken for right if it covers a base span of its kind. The trees are grown on three quarters of the
-    drawn texts; on the rest each kind gets the lowest cut at which the share of right ones is ``precision`` or more. A
-    kind for which no cut reaches that adds nothing.
+    texts or on ``most`` of these; over the candidates of all other texts each kind gets the lowest cut at which the share
+    of right ones is ``precision`` or more. Copies of a text count once in both. A kind for which no cut reaches that adds
+    nothing.
     """
-    total = found.count()
-    part = min(1.0, most / total) if total else 1.0
-    drawn = found.where(F.pmod(F.xxhash64("print", F.lit("draw")), F.lit(1 << 20)) < int(part * (1 << 20)))
-    rows = scratch.table(_judged(drawn).withColumn("check", F.pmod(F.xxhash64("print", F.lit("check")), F.lit(4)) == 0))
-    learn = rows.where("not check")
+    growing = F.pmod(F.xxhash64("print", F.lit("check")), F.lit(4)) != 0
+    texts = scratch.table(found.where(F.size("candidates") > 0).where(growing).select("print").distinct())
+    total = texts.count()
+    if total > most:
+        bucket = F.pmod(F.xxhash64("print", F.lit("draw")), F.lit(max(1, 64 * total // most)))
+        sizes = {r["bucket"]: r["count"] for r in texts.where(bucket < 128).groupBy(bucket.alias("bucket")).count().collect()}
+        part = drawn = 0
+        while drawn + sizes.get(part, 0) <= most and part < 128:
+            drawn, part = drawn + sizes.get(part, 0), part + 1
+        growing = growing & (bucket < part)
+    learn = scratch.table(_judged(found.where(growing)).drop("id").dropDuplicates(["print", "start", "end", "kind"]))
     if learn.select("label").distinct().count() < 2:
         return SpanJudge(None, {})
     model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=7, featuresCol="features", labelCol="label").fit(_assembled(learn))
-    steps = (
-        _scored(model, rows.where("check")).groupBy("kind", F.floor(F.col("p") * 200).alias("step"))
-        .agg(F.sum("label").alias("right"), F.count("*").alias("n")).collect()  # 4 kinds, 201 steps
-    )
+    step = F.floor(F.col("p") * 200).alias("step")
+    judged = _scored(model, _judged(found.where(~growing))).select("print", "start", "end", "kind", "label", step).distinct()
+    steps = judged.groupBy("kind", "step").agg(F.sum("label").alias("right"), F.count("*").alias("n")).collect()  # 4 kinds, 201 steps
     cuts = {}
     for kind in range(len(KINDS)):
         right = n = 0

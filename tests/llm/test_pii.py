@@ -87,3 +87,17 @@ def test_only_native_operations(documents, scratch):
     plan = pii.find(documents, scratch, trees=2)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
     assert hashlib.sha256(b"").hexdigest() == documents.limit(1).select(F.sha2(F.lit(""), 256)).first()[0]
+
+
+def test_cuts_count_every_distinct_text_once(spark, scratch):
+    rng = random.Random(5)
+    pairs = [("".join(rng.sample("123456", 6)), "".join(rng.choice("bcdfgh") for _ in range(4))) for _ in range(400)]
+    right, wrong = [f"so u{n}a@{d}.org or not" for n, d in pairs], [f"so u{n}ü@{d}.org or not" for n, d in pairs[::-1]]
+
+    def cuts(texts, **settings):
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+        return pii.fit_judge(scratch.table(pii.propose(df)), scratch, trees=2, **settings).cuts
+
+    # Only the right ones should pass, however often some of them are repeated.
+    assert cuts(right + wrong + right[:12] * 400)[0] > 0.5
+    assert cuts(right + wrong, most=100)[0] > 0.5
