@@ -31,9 +31,8 @@ from .corpus_queries import text_parts, text_splits, url_splits
 from .profile_queries import fused
 from .registry import ORACLES, query
 
-# Only the trees are fewer and flatter than the library's default (500, depth 8), which takes minutes a model on one
-# machine; set these variables for the full size. Vocabulary, components, hash sizes and iterations are the defaults.
-TREES, DEPTH = int(os.environ.get("HOOKLINE_TREES", 8)), int(os.environ.get("HOOKLINE_TREE_DEPTH", 4))
+# Every size is the library's default; these variables may lower the trees for a quick bench.
+TREES, DEPTH = int(os.environ.get("HOOKLINE_TREES", UM.TREES)), int(os.environ.get("HOOKLINE_TREE_DEPTH", UM.DEPTH))
 
 _FITTED: dict[tuple, object] = {}
 
