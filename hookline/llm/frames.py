@@ -38,18 +38,19 @@ def fresh(name: str, *frames: DataFrame) -> str:
     return name
 
 
-def append_columns(df: DataFrame, text: str, added: dict[str, str], make: Callable) -> DataFrame:
+def append_columns(df: DataFrame, text: str, added: dict[str, str], make: Callable, as_bytes: bool = False) -> DataFrame:
     """``df`` with the columns ``added`` (name to type) computed from the text column, batch by batch.
 
-    ``make`` gets the list of texts of a batch and returns one Arrow array for each new column. Rows keep all other
-    columns as they are; columns named like an added one are replaced.
+    ``make`` gets the list of texts of a batch, ``as_bytes`` in UTF-8, and returns one Arrow array for each new column. Rows
+    keep all other columns as they are; columns named like an added one are replaced.
     """
     base = without(df, *added)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema] + [f"`{n}` {t}" for n, t in added.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = make(batch.column(batch.schema.get_field_index(text)).to_pylist())
+            bodies = batch.column(batch.schema.get_field_index(text))
+            columns = make((bodies.cast(pa.binary()) if as_bytes else bodies).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *added])
 
     return base.mapInArrow(run, schema)

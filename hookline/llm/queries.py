@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import Scratch
-from . import class_lm, decontamination, lz_fingerprint, mixing, pairwise_quality, pii, simhash, suffix_dedup, toxicity, url_rules
+from . import (
+    class_lm, decontamination, lz_fingerprint, mixing, pairwise_quality, periodic_runs, pii, simhash, suffix_dedup, toxicity, url_rules,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -124,3 +126,16 @@ def op10_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontamination.with_hits(docs, _table(spark, sf_dir, "benchmark"), Scratch(spark, "leaks"))
     return found.where("hits > 0").select("doc_id", "hits", F.col("item").alias("item_id"))
+
+
+@_query("op11_periodic_runs")
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs of repeated words of every document, a tenth of which have one planted, and digests of all that was found."""
+    docs = periodic_runs.with_planted_runs(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = periodic_runs.with_runs(docs).drop("text")
+    best = periodic_runs.longest(F.col("runs"))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
+        F.sha2(periodic_runs.lists(F.col("runs")), 256).alias("runs_sha256"), F.sha2(F.col("collapsed"), 256).alias("collapsed_sha256"),
+    )
