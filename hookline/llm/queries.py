@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..session import Scratch
 from . import (
-    class_lm, decontamination, lz_fingerprint, mixing, pairwise_quality, periodic_runs, pii, simhash, suffix_dedup, toxicity, url_rules,
+    class_lm, decontamination, lz_fingerprint, mixing, pairwise_quality, periodic_runs, pii, resharding, simhash, suffix_dedup,
+    toxicity, url_rules,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -139,3 +140,16 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
         F.sha2(periodic_runs.lists(F.col("runs")), 256).alias("runs_sha256"), F.sha2(F.col("collapsed"), 256).alias("collapsed_sha256"),
     )
+
+
+@_query("op12_flow_reshard")
+def op12_flow_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in one of 16 shards of near equal bytes, grown from 12 that a hash of the text filled unevenly."""
+    docs, scratch = _table(spark, sf_dir, "documents"), Scratch(spark, "reshard")
+    by_text = F.pmod(F.crc32(F.coalesce(F.col("text"), F.lit(""))), F.lit(12))
+    old = resharding.lay_out(docs, by_text, 12, f"{scratch.root}/old")
+    new, _ = resharding.reshard(spark, old, 16, f"{scratch.root}/new", scratch)
+    return resharding.with_slots(spark, new, scratch).select(
+        "doc_id", resharding.size_of(F.col("text")).alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit(""))).alias("text_crc32"),
+        F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+    )
