@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..session import Scratch
 from . import (
-    class_lm, decontamination, lz_fingerprint, mixing, pairwise_quality, periodic_runs, pii, resharding, simhash, suffix_dedup,
-    toxicity, url_rules,
+    class_lm, collocations, decontamination, lz_fingerprint, mixing, pairwise_quality, periodic_runs, pii, resharding, simhash,
+    suffix_dedup, toxicity, url_rules,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -153,3 +153,37 @@ def op12_flow_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", resharding.size_of(F.col("text")).alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit(""))).alias("text_crc32"),
         F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@_query(
+    "op13_setm_collocations",
+    r"""
+    WITH pieces AS (
+      SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+      FROM documents),
+    split AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') AS words FROM pieces),
+    places AS (SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM split),
+    totals AS (SELECT lang, count(*) AS n FROM places GROUP BY lang),
+    counted AS (
+      SELECT lang, k, array_to_string(words[i : i + k - 1], ' ') AS phrase, count(*) AS n
+      FROM places, range(1, 6) AS lengths(k) WHERE i + k - 1 <= len(words) GROUP BY ALL HAVING count(*) >= 100),
+    candidates AS (
+      SELECT * FROM counted c WHERE k > 1 AND NOT EXISTS (
+        SELECT 1 FROM counted o WHERE o.lang = c.lang AND o.k > c.k AND 100 * o.n >= 100 * c.n
+          AND contains(' ' || o.phrase || ' ', ' ' || c.phrase || ' '))),
+    cuts AS (
+      SELECT c.lang, c.phrase, c.n AS a, x.k AS cut, x.n AS l, y.n AS r, t.n,
+        ((1000::HUGEINT * c.n * t.n) // (x.n::HUGEINT * y.n))::BIGINT AS score
+      FROM candidates c JOIN totals t ON t.lang = c.lang
+        JOIN counted x ON x.lang = c.lang AND x.k < c.k AND x.phrase = array_to_string(string_split(c.phrase, ' ')[1 : x.k], ' ')
+        JOIN counted y ON y.lang = c.lang AND y.k = c.k - x.k AND y.phrase = array_to_string(string_split(c.phrase, ' ')[x.k + 1 :], ' ')),
+    best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1)
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+    FROM best QUALIFY rank <= 2000
+    """,
+)
+def op13_setm_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 phrases of 2 to 5 words of each language that occur 100 times or more, by how much they hold together."""
+    docs = _table(spark, sf_dir, "documents").select("text", "lang")
+    return collocations.collocations(docs, Scratch(spark, "collocations"))
