@@ -16,10 +16,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ordered import sequence_id
 from ..session import Scratch
 
 _BREAKS = bytes.maketrans(b".,;:!?\x0b\x0c\r", b"\n" * 9)
-_FLUSH = 1 << 17  # distinct words a task counts before it hands them on
+_BLANKS = bytes.maketrans(b".,;:!?", b" " * 6)
+_FLUSH = 1 << 18  # distinct words a task counts before it hands them on
 _CACHE = 1 << 16  # words of a language whose numbers a task keeps
 _CHUNK = 1 << 16  # words whose pairs are handed on together
 _SENT = 500_000  # frequent groups up to this many are broadcast, some 50 MB; more are joined by a shuffle
@@ -58,22 +60,20 @@ def word_counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> Data
     """(lang, word, n) over all texts, counted in each task before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]):
-        seen: Counter = Counter()
+        seen: dict[str, Counter] = {}
 
         def flat():
-            return pa.RecordBatch.from_arrays([
-                pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.binary()), pa.array(list(seen.values()), pa.int64()),
-            ], names=["lang", "word", "n"])
+            return [pa.RecordBatch.from_arrays([
+                pa.array([name] * len(own), pa.string()), pa.array(list(own), pa.binary()), pa.array(list(own.values()), pa.int64()),
+            ], names=["lang", "word", "n"]) for name, own in seen.items()]
 
         for batch in batches:
             for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for own in _pieces(body):
-                    seen.update([(name, w) for w in own])
-                if len(seen) > _FLUSH:
-                    yield flat()
-                    seen = Counter()
-        if seen:
-            yield flat()
+                seen.setdefault(name, Counter()).update((body or "").encode().lower().translate(_BLANKS).split())
+                if sum(map(len, seen.values())) > _FLUSH:
+                    yield from flat()
+                    seen = {}
+        yield from flat()
 
     found = _texts(docs, text, lang).mapInArrow(run, "lang string, word binary, n bigint")
     return found.groupBy("lang", F.col("word").cast("string").alias("word")).agg(F.sum("n").alias("n"))
@@ -135,7 +135,8 @@ def frequent_phrases(
 
     x and y are the ids of the phrase without its last and without its first word; ``before`` and ``after`` count the
     phrase's first 1, 2, … and last 1, 2, … words. Words are numbered by a 64-bit hash; if a frequent word shares its number
-    with another one, all are numbered anew with another salt, so counts are exact. Longer phrases have ids of their own.
+    with another one, all are numbered anew with another salt, so counts are exact. Frequent phrases of every length are
+    then numbered from 1 on, as small numbers take less room in what is written and shuffled.
     """
     counts = scratch.table(word_counts(docs, text, lang))
     totals = scratch.table(counts.groupBy("lang").agg(F.sum("n").alias("n")))
@@ -146,18 +147,19 @@ def frequent_phrases(
             break
         salt += 1
     none = F.array().cast("array<bigint>")
-    words = named.where(F.col("n") >= least).select(
-        "id", "lang", F.array("word").alias("words"), "n", none.alias("before"), none.alias("after"), F.lit(None).cast("bigint").alias("x"), F.lit(None).cast("bigint").alias("y")
+    frequent = scratch.table(named.where(F.col("n") >= least).withColumnRenamed("id", "item"))
+    words = sequence_id(frequent, ["lang", "word"]).select(
+        "id", "item", "lang", F.array("word").alias("words"), "n", none.alias("before"), none.alias("after"), F.lit(None).cast("bigint").alias("x"), F.lit(None).cast("bigint").alias("y")
     )
-    levels = [scratch.table(words)]
-    size = levels[0].count()
+    words = scratch.table(words)
+    levels, size = [words.drop("item")], words.count()
     rows = _adjacent(docs, text, lang, str(salt))
     for side in ("x", "y"):
-        rows = _kept(rows, levels[0].select(F.col("id").alias(side)), [side], size)
-    rows = scratch.table(rows.select("doc", "at", "x", "y"))
+        rows = _kept(rows, words.select(F.col("item").alias(side), F.col("id").alias(f"{side}_id")), [side], size)
+    rows = scratch.table(rows.select("doc", "at", F.col("x_id").alias("x"), F.col("y_id").alias("y")))
     while len(levels) < most:
         groups = rows.groupBy("x", "y").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-        groups = scratch.table(groups.withColumn("id", F.monotonically_increasing_id()))
+        groups = scratch.table(sequence_id(groups, ["x", "y"]))
         size = groups.count()
         if not size:
             break
