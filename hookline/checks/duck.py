@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..functions import labels, url_features
 from . import views
 
 WS = r"[\s\x0B\x{1c}-\x{1f}\x{85}\p{Z}]"
@@ -24,11 +25,15 @@ def text_hash(x: str) -> str:
     return f"sha256({norm(x)})"
 
 
+def _quoted(words: list[str]) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
 def spelled_label(x: str) -> str:
     w = f"lower({strip(x)})"
     return (
-        f"CASE WHEN {w} IN ('1','phishing','phish','malicious','malware','true','yes') THEN 1 "
-        f"WHEN {w} IN ('0','legitimate','legit','ham','benign','safe','false','no') THEN 0 END"
+        f"CASE WHEN {w} IN ({_quoted(labels.PHISHING_SPELLINGS)}) THEN 1 "
+        f"WHEN {w} IN ({_quoted(labels.LEGITIMATE_SPELLINGS)}) THEN 0 END"
     )
 
 
@@ -105,15 +110,11 @@ FEATURES = {
     "NoOfURLRedirect": f"greatest({_n('w', 'https?://')} - 1, 0)",
     "NoOfSelfRedirect": "CAST(0 AS BIGINT)",
     "HasExternalFormSubmit": "CAST(0 AS BIGINT)",
-    "HasSocialNet": _any(
-        "d",
-        ["facebook.com", "instagram.com", "twitter.com", "x.com", "linkedin.com", "youtube.com", "tiktok.com",
-         "reddit.com", "pinterest.com"],
-    ),
-    "HasPasswordField": _any("w", ["password", "passwd", "pwd"]),
-    "Bank": _any("w", ["bank"]),
-    "Pay": _any("w", ["pay", "checkout", "billing", "invoice"]),
-    "Crypto": _any("w", ["crypto", "bitcoin", "ethereum", "wallet", "usdt", "blockchain"]),
+    "HasSocialNet": _any("d", url_features.SOCIAL_DOMAINS),
+    "HasPasswordField": _any("w", url_features.PASSWORD_KEYWORDS),
+    "Bank": _any("w", url_features.BANK_KEYWORDS),
+    "Pay": _any("w", url_features.PAY_KEYWORDS),
+    "Crypto": _any("w", url_features.CRYPTO_KEYWORDS),
     "NoOfExternalRef": "CAST(0 AS BIGINT)",
 }
 _RAW_HOST = "regexp_extract(u, '^(?:[a-zA-Z][a-zA-Z0-9+.\\-]*:)?//([^/?#]*)', 1)"
@@ -125,10 +126,11 @@ SIMPLE_FEATURES = {
     "NoOfObfuscatedChar": _n("u", "%"),
     "ObfuscationRatio": f"CAST({_n('u', '%')} AS DOUBLE) / {_LEN}",
     "NoOfURLRedirect": f"{_n('u', 'http://')} + {_n('u', 'https://')} - 1",
-    "HasSocialNet": _any("w", ["facebook", "instagram", "twitter", "linkedin", "youtube", "tiktok"]),
-    "HasPasswordField": _any("w", ["password"]),
-    "Pay": _any("w", ["pay"]),
-    "Crypto": _any("w", ["crypto", "bitcoin", "wallet"]),
+    "HasSocialNet": _any("w", url_features.SIMPLE_SOCIAL),
+    "HasPasswordField": _any("w", url_features.SIMPLE_PASSWORD),
+    "Bank": _any("w", url_features.SIMPLE_BANK),
+    "Pay": _any("w", url_features.SIMPLE_PAY),
+    "Crypto": _any("w", url_features.SIMPLE_CRYPTO),
 }
 
 

@@ -6,11 +6,6 @@ from hookline.functions.urls import canonical_url, extract_urls, url_domain
 from hookline.operators.domains import COMMON_SUFFIXES, read_suffix_rules, with_registered_domain
 
 GOLDEN = {
-    "https://www.harbor.com": "22,14,0,1,0,0,0,17,0.772727,0,0,0,0,5,0.227273,1,0,0,0,0,0,0,0,0,0",
-    "http://10.20.30.40/signin": "25,11,1,2,0,0,0,10,0.4,8,0,0,0,7,0.28,0,0,0,0,0,0,0,0,0,0",
-    "https://safe-paynow-entry.example.com/check?user=987&token=xyz":
-        "62,29,0,1,0,0,0,47,0.758065,3,2,1,1,12,0.193548,1,0,0,0,0,0,0,1,0,0",
-    "https://reddit.com/example": "26,10,0,0,0,0,0,21,0.807692,0,0,0,0,5,0.192308,1,0,0,0,1,0,0,0,0,0",
     "": ",".join("0" * 25),
     "  Example.com/a%20b ": "24,11,0,0,1,1,0.0416667,16,0.666667,2,0,0,0,6,0.25,0,0,0,0,0,0,0,0,0,0",
     "http://user@evil.com:8080/x\\y?pwd=1": "35,8,0,0,1,2,0.0571429,20,0.571429,5,1,1,0,10,0.285714,0,0,0,0,0,1,0,0,0,0",
@@ -28,6 +23,28 @@ def test_golden_features(spark):
         assert [row[c] for c in URL_FEATURES] == pytest.approx(want, abs=1e-6), row["url"]
 
 
+# For each feature the smallest URL that sets it, and the value; every other feature of interest stays as "z" has it.
+SMALLEST = {
+    "Crypto": ("usdt", 1), "Pay": ("pay", 1), "Bank": ("bank", 1), "HasPasswordField": ("pwd", 1), "HasSocialNet": ("x.com", 1),
+    "NoOfURLRedirect": ("z/http://", 1), "IsHTTPS": ("https://z", 1), "NoOfAmpersandInURL": ("z/&", 1), "NoOfQMarkInURL": ("z?", 1),
+    "NoOfEqualsInURL": ("z/=", 1), "NoOfDegitsInURL": ("z7", 1), "NoOfObfuscatedChar": ("z/%7e", 1), "HasObfuscation": ("@z", 1),
+    "NoOfSubDomain": ("u.v.w", 1), "IsDomainIP": ("0.0.0.0", 1), "DomainLength": ("z", 1), "URLLength": ("z", 8),
+    "NoOfLettersInURL": ("z", 5), "NoOfOtherSpecialCharsInURL": ("z", 3), "SpacialCharRatioInURL": ("z", 3 / 8),
+    "LetterRatioInURL": ("z", 5 / 8), "ObfuscationRatio": ("z%7e", 1 / 11),
+    "NoOfSelfRedirect": ("z", 0), "HasExternalFormSubmit": ("z", 0), "NoOfExternalRef": ("z", 0),
+}
+
+
+def test_smallest_url_of_each_feature(spark):
+    assert set(SMALLEST) == set(URL_FEATURES)
+    urls = sorted({u for u, _ in SMALLEST.values()})
+    rows = {r["url"]: r for r in with_url_features(spark.createDataFrame([(u,) for u in urls], "url string")).collect()}
+    for name, (url, value) in SMALLEST.items():
+        assert rows[url][name] == pytest.approx(value, abs=1e-9), name
+        if url != "z" and name not in ("IsHTTPS",):
+            assert rows["z"][name] == 0, name
+
+
 def test_feature_plan_is_one_narrow_stage(spark):
     df = with_url_features(spark.range(5).select(F.concat(F.lit("x.com/"), "id").alias("url")))
     plan = df._jdf.queryExecution().executedPlan().toString()
