@@ -1,4 +1,4 @@
-"""Scoring e-mails: text model, URL model, fused risk."""
+"""Scoring e-mails: text model, URL model, fused risk. Models are fitted pipelines or tables of numbers."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.risk import score_response
 from ..functions.text import message_text
 from ..functions.urls import extract_urls
+from ..operators.given_models import TreeEnsemble, WordWeights
 from ..operators.lookup import lookup_join
 from ..operators.scores import explode_urls, join_scores, max_url_score
 from ..operators.text_model import score_text
@@ -21,8 +22,16 @@ from ..sources.columns import optional
 
 @dataclass
 class EmailModels:
-    text: PipelineModel
-    url: PipelineModel
+    text: PipelineModel | WordWeights
+    url: PipelineModel | TreeEnsemble
+
+
+def _with_text_score(model: PipelineModel | WordWeights, df: DataFrame, text: str) -> DataFrame:
+    return model.score_text(df, text) if isinstance(model, WordWeights) else score_text(model, df, text)
+
+
+def _with_url_score(model: PipelineModel | TreeEnsemble, df: DataFrame) -> DataFrame:
+    return model.score_urls(df) if isinstance(model, TreeEnsemble) else score_urls(model, df)
 
 
 def as_messages(emails: DataFrame, key: str) -> DataFrame:
@@ -40,11 +49,11 @@ def score_emails(emails: DataFrame, models: EmailModels, key: str = "id") -> Dat
     bodies stay in their tasks.
     """
     messages = as_messages(emails, key).withColumn("_row", F.monotonically_increasing_id())
-    scored_text = score_text(models.text, messages, "message")
+    scored_text = _with_text_score(models.text, messages, "message")
     rows = scored_text.select("_row", key, "text_probability", "urls", F.posexplode_outer("urls").alias("pos", "url"))
     # Only the first row of an e-mail carries its list, or a mail with many URLs would grow by their square.
     mail = F.when(F.coalesce("pos", F.lit(0)) == 0, F.struct(F.col(key).alias("key"), "text_probability", "urls")).alias("mail")
-    scored = score_urls(models.url, rows.select("_row", "url", mail)).groupBy("_row").agg(
+    scored = _with_url_score(models.url, rows.select("_row", "url", mail)).groupBy("_row").agg(
         F.coalesce(F.max("probability"), F.lit(0.0)).alias("url_probability"),
         F.any_value("mail", ignoreNulls=True).alias("mail"),
     )
@@ -52,7 +61,7 @@ def score_emails(emails: DataFrame, models: EmailModels, key: str = "id") -> Dat
     return scored.select(F.col("mail.key").alias(key), response.alias("response")).select(key, "response.*")
 
 
-def score_distinct_urls(exploded: DataFrame, model: UrlPlusModel, key: str) -> DataFrame:
+def score_distinct_urls(exploded: DataFrame, model: UrlPlusModel | TreeEnsemble, key: str) -> DataFrame:
     """(key, pos, url, probability): every distinct URL is scored once and its score joined back.
 
     The counts that make the URLs distinct also tell which of them are frequent, so the join back spreads
@@ -70,15 +79,15 @@ def _score_table(
     rows: DataFrame,
     mode: str,
     url_column: str,
-    text_model: PipelineModel,
-    url_model: UrlPlusModel,
+    text_model: PipelineModel | WordWeights,
+    url_model: UrlPlusModel | TreeEnsemble,
     key: str,
     text: str,
     keep: list[str],
 ) -> DataFrame:
     """Text score and URL list of each row are written once, without the texts; all URL work reads that table."""
     listed = rows.withColumn("_urls", extract_urls(F.col(url_column), mode))
-    scored = score_text(text_model, listed, text).select(key, *keep, "text_probability", F.col("_urls").alias("urls"))
+    scored = _with_text_score(text_model, listed, text).select(key, *keep, "text_probability", F.col("_urls").alias("urls"))
     scored = materialize(scored, "text-scores")
     if mode == "list" and scored.where(F.size("urls") > 0).isEmpty():
         raise ValueError("no URL in the whole table")
@@ -88,7 +97,8 @@ def _score_table(
 
 
 def score_splits(
-    dataset: DataFrame, text_model: PipelineModel, url_model: UrlPlusModel, key: str = "id", text: str = "text"
+    dataset: DataFrame, text_model: PipelineModel | WordWeights, url_model: UrlPlusModel | TreeEnsemble, key: str = "id",
+    text: str = "text",
 ) -> DataFrame:
     """(key, source, split, label, text_probability, url_probability, url_count) of whole splits in one job."""
     return _score_table(dataset, "text", text, text_model, url_model, key, text, ["source", "split", "label"])
@@ -96,8 +106,8 @@ def score_splits(
 
 def score_listed_urls(
     mails: DataFrame,
-    text_model: PipelineModel,
-    url_model: UrlPlusModel,
+    text_model: PipelineModel | WordWeights,
+    url_model: UrlPlusModel | TreeEnsemble,
     key: str = "id",
     text: str = "text",
     urls: str = "url",
