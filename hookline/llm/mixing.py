@@ -14,6 +14,8 @@ from .frames import word_count
 _KEY = ["none", "src"]
 _BINS = 1024
 _STEPS = 80
+_ROUNDS = 4  # the shift is found to 2 / _BINS ** _ROUNDS, far below the spread of rows that repeat
+_SPREAD = 2.0**-16
 
 
 def _by_source(column: str) -> list[Column]:
@@ -99,7 +101,7 @@ def _shift(rows: DataFrame, targets: DataFrame, most: int, scratch: Scratch) ->
     """Per source, the number added to all of its ``z`` (rate plus a fixed uniform number) so that rounding down meets the target.
 
     As the shift grows from -1 to 1 every document passes whole numbers at known places, each adding its size. The
-    places are binned, the bins summed per source, and the bin in which the target is met is binned once more.
+    places are binned, the bins summed per source, and the bin in which the target is met is binned again.
     """
     n = _BINS
     base = rows.select(*_KEY, "size", "z", F.greatest(F.lit(0), F.least(F.lit(most), F.floor(F.col("z") - 1))).alias("least"))
@@ -109,7 +111,7 @@ def _shift(rows: DataFrame, targets: DataFrame, most: int, scratch: Scratch) ->
     steps = scratch.table(steps)
     start = base.groupBy(*_KEY).agg(F.sum(F.col("size") * F.col("least")).alias("sum"))
     range_ = scratch.table(targets.join(start, _KEY).select(*_KEY, "target", "sum", F.lit(-1.0).alias("low"), F.lit(2.0 / n).alias("width")))
-    for _ in range(2):
+    for _ in range(_ROUNDS):
         cells = (
             steps.join(range_, _KEY).withColumn("cell", F.floor((F.col("at") - F.col("low")) / F.col("width")))
             .where(F.col("cell").between(0, n - 1) | ((F.col("cell") == n) & (F.col("at") <= 1.0)))
@@ -142,17 +144,22 @@ def mix(
 
     Every document is taken a whole number of times, 0 to ``most``; ``taken`` is copies times size. Rates come from
     ``tilts``; a number drawn from the id, source and size decides the rounding, and one small shift a source makes the
-    words taken meet the target up to about one document. Runs agree. A null text has size 0 and is taken 0 times; a
-    null source is a source of its own, after all others; rows that repeat are separate documents but round alike; an
-    empty table stays empty; columns named like a result are replaced. The joins put one row a source next to the
+    words taken meet the target up to about one document. Rows of equal id, source and size, as are those without id,
+    draw numbers that differ by up to 2^-16 with the row's place in the input, so they round one by one and a source of
+    copies meets its target too. Runs over the same files agree. A null text has size 0 and is taken 0 times; a null
+    source is a source of its own, after all others; an empty table stays empty; columns named like a result are replaced. The joins put one row a source next to the
     documents: that table's size is known when it is read, so the optimiser broadcasts it while it is small and
     shuffles otherwise.
     """
     added = ["size", "source_size", "target", "rate", "copies", "taken"]
     kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in added]
     given = F.struct(*[F.col(f"`{c}`") for c in kept]).alias("given")
-    counted = docs.select(given, *_by_source(source), F.col(id).alias("id"), word_count(F.col(text)).alias("size"))
-    draw = F.shiftrightunsigned(F.xxhash64("id", *_KEY, "size", F.lit(seed)), 11) / F.lit(float(1 << 53))
+    counted = docs.select(given, *_by_source(source), F.col(id).alias("id"), word_count(F.col(text)).alias("size"), F.monotonically_increasing_id().alias("place"))
+
+    def uniform(*of: str) -> Column:
+        return F.shiftrightunsigned(F.xxhash64(*of, F.lit(seed)), 11) / F.lit(float(1 << 53))
+
+    draw = uniform("id", *_KEY, "size") * (1 - _SPREAD) + uniform("place") * _SPREAD
     drawn = counted.select("given", *_KEY, "size", draw.alias("u"))
     if text in kept:  # read the texts again rather than write them out
         rows, sizes = drawn, scratch.table(drawn.drop("given"))

@@ -52,6 +52,12 @@ def test_uneven_sources_hit_their_caps(spark, scratch):
     assert any(math.isclose(want[s], 3 * sum(len(t.split()) for _, t, x in rows if x == s)) for s in want)
 
 
+def test_rows_that_repeat_meet_their_targets(spark, scratch):
+    rows = [(None if i % 2 else 7, "five words of a text", f"s{i % 3 + 1}") for i in range(3000)]
+    check(spark.createDataFrame([(None, *r[1:]) for r in rows], "doc_id bigint, text string, source string"), scratch, 1.0)
+    check(spark.createDataFrame([(i if i % 3 else 5, "t " * (1 + i % 4 if i % 3 else 3), "a" if i % 5 else "b") for i in range(3000)], "doc_id bigint, text string, source string"), scratch, 1.0)
+
+
 def test_odd_rows(odd, scratch):
     out = mixing.mix(odd, scratch)
     assert set(odd.columns) - {"size"} <= set(out.columns) and len(out.columns) == len(set(out.columns))
