@@ -1,8 +1,10 @@
-"""Repeated passages by a sparse suffix array: suffixes at minimiser positions, equal neighbours, then extension.
+"""Repeated passages by sparse suffixes: those at minimiser positions are kept, equal ones brought together, matches extended.
 
 Of all suffixes only those are kept that begin at a minimiser: the smallest hash of 8 words among 16 neighbouring
 positions. A passage of 50 words holds 16 such positions from its start, so wherever it occurs the same one of them is
-kept, with 35 words of the passage or more still to come. Sorted by these 35 words, the occurrences are neighbours.
+kept, with 35 words of the passage or more still to come. Sorted by these 35 words, the occurrences would be neighbours;
+here a hash of these words brings them together in place of the sort, since only equal suffixes are asked for and groups
+of equal hashes are reduced in each task before they move, which a sort cannot. Equal 64-bit hashes count as equal words.
 """
 
 from __future__ import annotations
@@ -18,7 +20,8 @@ from pyspark.sql import functions as F
 from ..session import Scratch
 from .frames import join_uneven, words
 
-_CACHE = 1 << 20
+_CACHE = 1 << 16
+_CHUNK = 1 << 18  # words whose places are handed on together
 
 
 class _WordHashes(dict):
@@ -89,20 +92,27 @@ def repeated_passages(
     kind = docs.schema[id].dataType.simpleString()
     rows = docs.where(F.col(id).isNotNull()).select(F.col(id).alias("id"), F.col(text).alias("text"))
 
+    def listed_places(batch: pa.RecordBatch, keys: list, at: list, owner: list) -> pa.RecordBatch:
+        ids = batch.column(0).take(pa.array(np.concatenate(owner)))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), ids, pa.array(np.concatenate(at))], names=["key", "id", "at"])
+
     def seeds(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            keys, at, owner = [], [], []
-            for place, body in enumerate(batch.column(1).to_pylist()):
-                hashes = _hashed(body)
+            keys, at, owner, size = [], [], [], 0
+            for place, body in enumerate(batch.column(1)):
+                hashes = _hashed(body.as_py())
+                size += len(hashes)
                 if len(hashes) >= length:
                     own = minimisers(hashes, gram, window)
                     own = own[own <= len(hashes) - kept]
                     keys.append(_runs(hashes, kept)[own].view(np.int64))
                     at.append(own.astype(np.int32))
                     owner.append(np.full(len(own), place))
+                if keys and size > _CHUNK:
+                    yield listed_places(batch, keys, at, owner)
+                    keys, at, owner, size = [], [], [], 0
             if keys:
-                ids = batch.column(0).take(pa.array(np.concatenate(owner)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), ids, pa.array(np.concatenate(at))], names=["key", "id", "at"])
+                yield listed_places(batch, keys, at, owner)
 
     def shared(found: DataFrame) -> DataFrame:
         sides = found.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n"))
@@ -116,19 +126,21 @@ def repeated_passages(
 
     def extended(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            keys, at, owner = [], [], []
-            for place, (body, anchor) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                hashes = _hashed(body)
-                if len(hashes) < length:
-                    continue  # a short row under an id that also has a long one
-                starts = np.unique((np.array(anchor)[:, None] - np.arange(window)).ravel())
-                starts = starts[(starts >= 0) & (starts <= len(hashes) - length)]
-                keys.append(_runs(hashes, length)[starts].view(np.int64))
-                at.append(starts.astype(np.int32))
-                owner.append(np.full(len(starts), place))
+            keys, at, owner, size = [], [], [], 0
+            for place, (body, anchor) in enumerate(zip(batch.column(1), batch.column(2), strict=True)):
+                hashes = _hashed(body.as_py())
+                size += len(hashes)
+                if len(hashes) >= length:  # else a short row under an id that also has a long one
+                    starts = np.unique((anchor.values.to_numpy(zero_copy_only=False)[:, None] - np.arange(window)).ravel())
+                    starts = starts[(starts >= 0) & (starts <= len(hashes) - length)]
+                    keys.append(_runs(hashes, length)[starts].view(np.int64))
+                    at.append(starts.astype(np.int32))
+                    owner.append(np.full(len(starts), place))
+                if keys and size > _CHUNK:
+                    yield listed_places(batch, keys, at, owner)
+                    keys, at, owner, size = [], [], [], 0
             if keys:
-                ids = batch.column(0).take(pa.array(np.concatenate(owner)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), ids, pa.array(np.concatenate(at))], names=["key", "id", "at"])
+                yield listed_places(batch, keys, at, owner)
 
     runs = scratch.table(rows.join(anchors, "id").select("id", "text", "at").mapInArrow(extended, f"key bigint, id {kind}, at int"))
     matched = join_uneven(runs, shared(runs), "key", "n", runs.count())
