@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.functions import vector_to_array
@@ -32,9 +30,6 @@ from .corpus_queries import text_parts, text_splits, url_splits
 from .profile_queries import fused
 from .registry import ORACLES, query
 
-# Every size is the library's default; these variables may lower the trees for a quick bench.
-TREES, DEPTH = int(os.environ.get("HOOKLINE_TREES", UM.TREES)), int(os.environ.get("HOOKLINE_TREE_DEPTH", UM.DEPTH))
-
 _FITTED: dict[tuple, object] = {}
 
 
@@ -60,7 +55,7 @@ def _split_features(spark, sf):
 
 def _url_model(spark, sf):
     train = _feature_splits(spark, sf).where(F.col("split") == "train")
-    return _fitted(spark, sf, "url", lambda: UM.fit_url_model(train, TREES, DEPTH))
+    return _fitted(spark, sf, "url", lambda: UM.fit_url_model(train))
 
 
 def _tfidf(spark, sf):
@@ -78,9 +73,7 @@ def _svd(spark, sf):
 def _url_plus(spark, sf):
     return _fitted(
         spark, sf, "url_plus",
-        lambda: UM.fit_url_plus_model(
-            _train_urls(spark, sf), "url_id", trees=TREES, depth=DEPTH
-        ),
+        lambda: UM.fit_url_plus_model(_train_urls(spark, sf), "url_id"),
     )
 
 
@@ -268,17 +261,26 @@ def snk_matrix(spark, sf):
 # Models
 
 
-def _verified(scored, probability="probability", by_accuracy=True):
+_FEW_URLS, _FEW_TEXTS = 20, 100  # below so many test rows, or with one class only, no quality is asserted
+
+
+def _verified(scored, probability="probability", by_accuracy=True, few=_FEW_URLS):
     """Rows and positives that the metrics saw, and whether they beat naming the larger class every time: the scores must
-    order the classes and, unless the classes overlap too much for it, the accuracy exceed the larger one's share."""
+    order the classes and, unless the classes overlap too much for it, the accuracy exceed the larger one's share. Null
+    where the rows are too few or of one class, for which no order is defined."""
     m = M.evaluate_scores(scored, probability=probability)
     positives = F.col("confusion_matrix")[1][0] + F.col("confusion_matrix")[1][1]
     larger = F.greatest(positives, F.col("samples") - positives) / F.col("samples")
-    return m.select(F.col("samples").alias("n"), positives.alias("positives"), ((F.col("roc_auc") > 0.5) & (F.lit(not by_accuracy) | (F.col("accuracy") >= larger))).alias("better"))
+    better = (F.col("roc_auc") > 0.5) & (F.lit(not by_accuracy) | (F.col("accuracy") >= larger))
+    enough = (F.col("samples") >= few) & (larger < 1)
+    return m.select(F.col("samples").alias("n"), positives.alias("positives"), F.when(enough, better).alias("better"))
 
 
-def _held(table, where="split = 'test'"):
-    return f"SELECT count(*) AS n, count(*) FILTER (WHERE label = 1) AS positives, TRUE AS better FROM {table} WHERE {where}"
+def _held(table, where="split = 'test'", few=_FEW_URLS):
+    return (
+        f"SELECT count(*) AS n, count(*) FILTER (WHERE label = 1) AS positives, "
+        f"CASE WHEN count(*) >= {few} AND count(DISTINCT label) = 2 THEN TRUE END AS better FROM {table} WHERE {where}"
+    )
 
 
 _URL_PARTS = D.ctes("urls") + ", feature_splits AS (" + D.ranked_split("urls", "70_10_20", "url_id") + ")\n"
@@ -298,7 +300,7 @@ def mdl_url_plus(spark, sf):
     return _verified(_url_plus(spark, sf).score(test, "url_id", keep=["label"]))
 
 
-@query("mdl_learning_curve", f"SELECT CAST(unnest(range(1, {TREES + 1})) AS INTEGER) AS round, TRUE AS falling, TRUE AS positive")
+@query("mdl_learning_curve", f"SELECT CAST(unnest(range(1, {UM.TREES + 1})) AS INTEGER) AS round, TRUE AS falling, TRUE AS positive")
 def mdl_learning_curve(spark, sf):
     rows = _feature_splits(spark, sf)
     curve = UM.learning_curve(_url_model(spark, sf), rows.where(F.col("split") == "train"), rows.where(F.col("split") == "val"))
@@ -332,10 +334,10 @@ def srt_importance(spark, sf):
     return table.select("place", F.coalesce(F.col("importance") <= before, F.lit(True)).alias("in_order"))
 
 
-@query("mdl_text", _TEXTS + _held("text_splits"))
+@query("mdl_text", _TEXTS + _held("text_splits", few=_FEW_TEXTS))
 def mdl_text(spark, sf):
     test = _text_rows(spark, sf).where(F.col("split") == "test")
-    return _verified(TM.score_text(_text_model(spark, sf), test), "text_probability", by_accuracy=False)
+    return _verified(TM.score_text(_text_model(spark, sf), test), "text_probability", by_accuracy=False, few=_FEW_TEXTS)
 
 
 @query("mdl_text_score", _TEXTS + "SELECT id, TRUE AS in_range, TRUE AS split_apart FROM text_splits")
@@ -371,22 +373,26 @@ def mdl_url_score_fitted(spark, sf):
     )
 
 
-@query("mdl_fusion", _TEXTS + _held("text_splits", "split = 'test'"))
+@query("mdl_fusion", _TEXTS + _held("text_splits", few=_FEW_TEXTS))
 def mdl_fusion(spark, sf):
     """Classes are weighed alike here, so the order of the scores must hold rather than the accuracy."""
     test = _multimodal(spark, sf).where(F.col("split") == "test")
-    return _verified(FM.score_fusion(_fusion_model(spark, sf), test), "fused_probability", by_accuracy=False)
+    return _verified(FM.score_fusion(_fusion_model(spark, sf), test), "fused_probability", by_accuracy=False, few=_FEW_TEXTS)
 
 
 @query(
     "mdl_coefficients",
-    f"SELECT unnest([{', '.join(f"'{c}'" for c in FM.FUSION_FEATURES)}, 'intercept']) AS feature, TRUE AS finite, TRUE AS text_counts",
+    _TEXTS + f"""SELECT feature, TRUE AS finite, feature <> 'text_probability' OR CASE WHEN n >= {_FEW_TEXTS} THEN TRUE END AS text_counts
+    FROM (SELECT unnest([{', '.join(f"'{c}'" for c in FM.FUSION_FEATURES)}, 'intercept']) AS feature),
+      (SELECT count(*) AS n FROM text_splits WHERE split = 'val')""",
 )
 def mdl_coefficients(spark, sf):
-    """All numbers of the fusion model; a higher text probability raises the risk."""
+    """All numbers of the fusion model; learned from enough rows, a higher text probability raises the risk."""
     table = FM.fusion_coefficients(_fusion_model(spark, sf), spark)
+    enough = _multimodal(spark, sf).where(F.col("split") == "val").count() >= _FEW_TEXTS
     finite = F.col("coefficient").isNotNull() & ~F.isnan("coefficient") & (F.abs("coefficient") < 1e6)
-    return table.select("feature", finite.alias("finite"), ((F.col("feature") != "text_probability") | (F.col("coefficient") > 0)).alias("text_counts"))
+    raises = F.when(F.lit(enough), F.col("coefficient") > 0)
+    return table.select("feature", finite.alias("finite"), ((F.col("feature") != "text_probability") | raises).alias("text_counts"))
 
 
 @query("mdl_select_best", "SELECT CAST(i AS INTEGER) AS step, 'reg=' || x AS name, TRUE AS follows FROM (SELECT unnest([1, 2]) AS i, unnest(['0.1', '0.01']) AS x)")

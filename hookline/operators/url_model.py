@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
+from pyspark.ml import PipelineModel
+from pyspark.ml.classification import GBTClassificationModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.text import finite_or_zero
 from ..functions.url_features import URL_FEATURES, with_url_features
 from ..sources.columns import require
+from .boosting import Boosting, fit_boosted
 from .svd import N_COMPONENTS, SvdModel, fit_svd
 from .tfidf import MAX_FEATURES, MIN_DOCUMENTS, TfidfModel, fit_tfidf
 
@@ -23,8 +24,10 @@ DEPTH = 8
 STEP = 0.05
 SUBSAMPLE = 0.8
 SUBSAMPLE_PLUS = 0.85
-COLUMN_SAMPLE = "0.8"
-MIN_ROWS_PLUS = 2
+COLUMN_SAMPLE = 0.8
+CHILD_WEIGHT = 1.0
+CHILD_WEIGHT_PLUS = 2.0
+L2 = 1.0
 SEED = 42
 
 
@@ -39,17 +42,15 @@ def assemble(df: DataFrame, out: str = "features") -> DataFrame:
     return VectorAssembler(inputCols=URL_FEATURES, outputCol=out).transform(finite_features(df))
 
 
-def _trees(trees: int, depth: int, subsample: float, min_rows: int) -> GBTClassifier:
-    return GBTClassifier(
-        featuresCol="features", labelCol="label", maxIter=trees, maxDepth=depth, stepSize=STEP,
-        subsamplingRate=subsample, featureSubsetStrategy=COLUMN_SAMPLE, minInstancesPerNode=min_rows, seed=SEED,
-    )
+def _settings(trees: int, depth: int, rows: float, child_weight: float) -> Boosting:
+    return Boosting(trees, depth, STEP, rows, COLUMN_SAMPLE, L2, child_weight, seed=SEED)
 
 
 def fit_url_model(df: DataFrame, trees: int = TREES, depth: int = DEPTH) -> PipelineModel:
     """Trees on the 25 feature columns and ``label`` of ``df``."""
-    stages = [VectorAssembler(inputCols=URL_FEATURES, outputCol="features"), _trees(trees, depth, SUBSAMPLE, 1)]
-    return Pipeline(stages=stages).fit(finite_features(df))
+    ready = finite_features(df).select(F.array(*URL_FEATURES).alias("x"), "label")
+    model = fit_boosted(ready, "x", len(URL_FEATURES), settings=_settings(trees, depth, SUBSAMPLE, CHILD_WEIGHT))
+    return PipelineModel([VectorAssembler(inputCols=URL_FEATURES, outputCol="features"), model])
 
 
 def probability_of_phishing(scored: DataFrame, out: str = "probability") -> DataFrame:
@@ -146,5 +147,7 @@ def fit_url_plus_model(
     tfidf = fit_tfidf(train, key, url, min_documents, max_features)
     svd = fit_svd(tfidf, tfidf.weights(train, key, url), components)
     ready = plus_features(train, tfidf, svd, key, url, keep=["label"])
-    model = _trees(trees, depth, SUBSAMPLE_PLUS, MIN_ROWS_PLUS).fit(ready)
+    ready = ready.select(vector_to_array("features").alias("x"), "label")
+    width = len(URL_FEATURES) + svd.components
+    model = fit_boosted(ready, "x", width, settings=_settings(trees, depth, SUBSAMPLE_PLUS, CHILD_WEIGHT_PLUS))
     return UrlPlusModel(tfidf, svd, model)
