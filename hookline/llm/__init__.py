@@ -1 +1 @@
-"""Operators for preparing training data: ten methods, their queries, and the stages of ``corpus_pipeline``."""
+"""Operators for preparing training data: thirteen methods, their queries, and the stages of ``corpus_pipeline``."""
