@@ -13,6 +13,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..session import Scratch
 from .frames import append_columns, fresh
@@ -24,67 +25,127 @@ UNITS = frozenset(
     "cent percent pounds pound miles mile meters meter metres metre kilometers kilometres inches inch feet foot grams gram liters "
     "litres degrees celsius fahrenheit $ € £ % °c °f".split()
 )
+#: Items with fewer words than this are found as whole lines only, with the same numbers, names and units.
+SHORT = 5
+#: Cardinal numbers that are written as words; tens and units may be joined by a hyphen.
+SPELLED = {
+    word: str(value)
+    for value, word in enumerate(
+        "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen "
+        "nineteen".split()
+    )
+} | {word: str(10 * tens) for tens, word in enumerate("twenty thirty forty fifty sixty seventy eighty ninety".split(), 2)}
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "$%")
 _NUM, _NAME, _UNIT, _HEAD = "<num>", "<name>", "<unit>", "<head>"
 _BASE = 0x9E3779B97F4A7C15  # odd, so powers never vanish
 _MASK = (1 << 64) - 1
-_CACHE = 1 << 20
+_CACHE = 1 << 19
 _CHUNK = 1 << 15  # words looked up at once
+_PAIRS = 1 << 20  # places compared with windows at once
+_HASH = {x: xxhash.xxh64_intdigest(x.encode()) for x in (_NUM, _NAME, _UNIT, "in")}
+_NOTHING, _WORD, _SLOT, _CAPITAL, _SPELLED = -1, 0, 1, 2, 3  # kinds of pieces; a capitalised word may be a name
+
+
+def _number(low: str) -> str | None:
+    """The value of a number written as a word or as two with a hyphen, else null."""
+    tens, _, unit = low.partition("-")
+    if unit in SPELLED and len(SPELLED[unit]) == 1 and unit != "zero" and tens.endswith("ty") and tens in SPELLED:
+        return str(int(SPELLED[tens]) + int(SPELLED[unit]))
+    return SPELLED.get(low)
+
+
+def _form(piece: str) -> tuple[int, int, str, bool, bool]:
+    """(hash, kind, value, ends a sentence, capital) of a blank-separated piece; a spelled number has its word's hash."""
+    if piece.isalpha() and piece.islower() and piece not in UNITS and piece not in SPELLED:
+        return xxhash.xxh64_intdigest(piece.encode()), _WORD, piece, False, False
+    core = piece.strip(_EDGE)
+    ends = piece.rstrip("\"')]}»”’")[-1:] in (".", "!", "?", ":")
+    if not core:
+        return 0, _NOTHING, "", ends, False
+    bare = core.replace(",", "").replace(".", "").replace("%", "").replace("$", "")
+    low = core.lower()
+    if bare.isdigit():
+        return _HASH[_NUM], _SLOT, _NUM + bare, ends, False
+    if low in UNITS and low != "in":
+        return _HASH[_UNIT], _SLOT, _UNIT + low, ends, False
+    own = xxhash.xxh64_intdigest(low.encode())
+    if (value := _number(low)) is not None:
+        return own, _SPELLED, _NUM + value, ends, False
+    capital = core[0].isupper()
+    return own, _CAPITAL if capital and not core.isupper() else _WORD, low, ends, capital
 
 
 class _Forms(dict):
-    """Blank-separated piece to (hash, kind, value, ends a sentence, capital); kind 0 word, 1 slot, 2 may be a name, -1 nothing."""
-
-    def __missing__(self, piece: str) -> tuple[int, int, str, bool, bool]:
-        if len(self) >= _CACHE:
-            self.clear()
-        core = piece.strip(_EDGE)
-        ends = piece.rstrip("\"')]}»”’")[-1:] in (".", "!", "?", ":")
-        bare = core.replace(",", "").replace(".", "").replace("%", "").replace("$", "")
-        low = core.lower()
-        if not core:
-            found = (0, -1, "", ends, False)
-        elif bare.isdigit():
-            found = (_HASH[_NUM], 1, _NUM + bare, ends, False)
-        elif low in UNITS and low != "in":
-            found = (_HASH[_UNIT], 1, _UNIT + low, ends, False)
-        else:
-            capital = core[0].isupper()
-            found = (xxhash.xxh64_intdigest(low.encode()), 2 if capital and not core.isupper() else 0, low, ends, capital)
-        self[piece] = found
-        return found
+    """Blank-separated piece to a number, with the forms by number. Number 0 is "in" as a unit."""
 
+    def __init__(self):
+        super().__init__()
+        self.clear()
 
-_HASH = {x: xxhash.xxh64_intdigest(x.encode()) for x in (_NUM, _NAME, _UNIT, "in")}
+    def clear(self) -> None:
+        super().clear()
+        self.form: list[tuple[int, int, str, bool, bool]] = [(_HASH[_UNIT], _SLOT, _UNIT + "in", False, False)]
+        self.digest, self.kind = np.zeros(1 << 12, np.uint64), np.zeros(1 << 12, np.int8)
+        self.digest[0], self.kind[0] = _HASH[_UNIT], _SLOT
+
+    def __missing__(self, piece: str) -> int:
+        k = self[piece] = len(self.form)
+        form = _form(piece)
+        self.form.append(form)
+        if k == len(self.kind):
+            self.digest, self.kind = (np.concatenate([x, np.zeros_like(x)]) for x in (self.digest, self.kind))
+        self.digest[k], self.kind[k] = form[0], form[1]
+        return k
 
 
 _FORMS = _Forms()  # of this Python worker, bounded
 
 
+def counted(spelled: list[bool]) -> list[bool]:
+    """Which spelled numbers are quantities: those in a row of fewer than three. "one two three" is plain words."""
+    out = list(spelled)
+    at = 0
+    while at < len(out):
+        end = at
+        while end < len(out) and spelled[end]:
+            end += 1
+        if end - at >= 3:
+            out[at:end] = [False] * (end - at)
+        at = max(end, at + 1)
+    return out
+
+
 def template(text: str | None, forms: _Forms, names: Set[str] = frozenset()) -> tuple[list[int], list[str]]:
     """Hashes of the words of a benchmark text and, beside them, the value of each slot ("" for a plain word).
 
     A name is a word of ``names`` in any case, or one that is capitalised within a sentence. A capitalised word that begins
-    a sentence or a line may be a name or not, and is a ``<head>``. "in" is a unit after a number only. Pieces without a
-    letter, digit or unit are dropped. Null is empty.
+    a sentence or a line may be a name or not, and is a ``<head>``. "in" is a unit after a number only. A number may be
+    spelled ("five", "twenty-five"), but three and more spelled ones in a row are counting and stay words. Pieces without
+    a letter, digit or unit are dropped. Null is empty.
     """
-    hashes: list[int] = []
-    slots: list[str] = []
+    read: list[tuple[int, int, str, bool]] = []  # hash, kind, value, begins a sentence
     for line in (text or "").split("\n"):
         begins = True
         for piece in line.split():
-            digest, kind, value, ends, _ = forms[piece]
-            if kind == 0 and value == "in" and hashes and hashes[-1] == _HASH[_NUM]:
-                digest, kind, value = _HASH[_UNIT], 1, _UNIT + value
-            if kind >= 0:
-                hashes.append(digest)
-                if kind == 1:
-                    slots.append(value)
-                elif value in names or (kind == 2 and not begins):
-                    slots.append(_NAME + value)
-                else:
-                    slots.append(_HEAD + value if kind == 2 else "")
-            begins = ends or (begins and kind < 0)
+            digest, kind, value, ends, _ = forms.form[forms[piece]]
+            if kind != _NOTHING:
+                read.append((digest, kind, value, begins))
+            begins = ends or (begins and kind == _NOTHING)
+    amounts = counted([kind == _SPELLED for _, kind, _, _ in read])
+    hashes: list[int] = []
+    slots: list[str] = []
+    for (digest, kind, value, begins), amount in zip(read, amounts, strict=True):
+        if amount:
+            digest, kind = _HASH[_NUM], _SLOT
+        elif kind == _WORD and value == "in" and hashes and hashes[-1] == _HASH[_NUM]:
+            digest, kind, value = _HASH[_UNIT], _SLOT, _UNIT + value
+        hashes.append(digest)
+        if kind == _SLOT:
+            slots.append(value)
+        elif kind != _SPELLED and (value in names or (kind == _CAPITAL and not begins)):
+            slots.append(_NAME + value)
+        else:
+            slots.append(_HEAD + value if kind == _CAPITAL else "")
     return hashes, slots
 
 
@@ -118,14 +179,15 @@ def benchmark_names(benchmark: DataFrame, text: str = "text") -> DataFrame:
 
 
 def benchmark_windows(
-    benchmark: DataFrame, item: str = "item_id", text: str = "text", width: int = 10, least: int = 5, known: Set[str] = frozenset()
+    benchmark: DataFrame, item: str = "item_id", text: str = "text", width: int = 10, least: int = 3, known: Set[str] = frozenset()
 ) -> DataFrame:
     """(hash, width, item, words, slots) of every window of every item; equal ones once, under the smallest item.
 
     Names and heads are slots, with 0 for their word, so the hash is that of all other words. In a window with fewer than
-    two other words heads are plain words. An item shorter than ``width`` is one window of its own length. One with fewer
-    than ``least`` words, too few to tell it from ordinary language, gives no window. Null and empty items give none.
-    ``known`` are the names of the benchmark.
+    two other words both are plain words, so a list of names is found as it stands. An item shorter than ``width`` is one window of its own length. One with fewer
+    than ``SHORT`` words is one window too, but counts only as a whole line with equal values; one with fewer than
+    ``least`` words, which ordinary language is full of, gives no window. Null and empty items give none. ``known`` are the
+    names of the benchmark.
     """
 
     def run(batches: Iterator[pa.RecordBatch]):
@@ -136,10 +198,14 @@ def benchmark_windows(
                 w = min(width, len(hashes))
                 if w < least:
                     continue
+                if len(_FORMS) >= _CACHE:
+                    _FORMS.clear()
                 for at in range(len(hashes) - w + 1):
                     words, own = hashes[at : at + w], slots[at : at + w]
-                    heads = sum(not s.startswith((_NAME, _HEAD)) for s in own) >= 2
-                    own = [(_NAME + s[len(_HEAD) :] if heads else "") if s.startswith(_HEAD) else s for s in own]
+                    if sum(not s.startswith((_NAME, _HEAD)) for s in own) >= 2:
+                        own = [_NAME + s[len(_HEAD) :] if s.startswith(_HEAD) else s for s in own]
+                    else:
+                        own = ["" if s.startswith((_NAME, _HEAD)) else s for s in own]
                     words = np.array([0 if s.startswith(_NAME) else x for x, s in zip(words, own, strict=True)], np.uint64)
                     out.append((int(window_hashes(words, w).view(np.int64)[0]), w, name, words.view(np.int64).tolist(), own))
             if out:
@@ -153,94 +219,138 @@ def benchmark_windows(
     return found.groupBy("hash", "width", "words", "slots").agg(F.min("item").alias("item"))
 
 
-class _Places:
-    """The windows that have names at the same places: a bit table, sorted hashes, and the windows of each hash."""
+class _Anchors:
+    """The windows whose longest stretch without names has one length, found by the hash of that stretch.
+
+    Windows that differ only in where their names are need no lookup each: there are at most ``width`` lengths.
+    """
 
-    def __init__(self, rows: list, places: tuple[int, ...]):
-        self.places = places
-        self.by_hash: dict[int, list[tuple]] = {}
-        for r in rows:
-            self.by_hash.setdefault(r["hash"] & _MASK, []).append(([w & _MASK for w in r["words"]], r["slots"], r["item"]))
-        self.keys = np.array(sorted(self.by_hash), np.uint64)
+    def __init__(self, rows: list[tuple[int, int]]):
+        rows = sorted(rows)
+        self.windows = np.array([k for _, k in rows], np.int64)
+        self.keys, self.first, self.count = np.unique(np.array([h for h, _ in rows], np.uint64), return_index=True, return_counts=True)
         size = max(14, (64 * len(self.keys)).bit_length())
         self.shift = np.uint64(64 - size)
         self.bits = np.zeros(1 << size, np.bool_)
         self.bits[self.keys >> self.shift] = True
 
-    def find(self, whole: np.ndarray, parts: dict[int, np.ndarray]) -> Iterator[tuple[int, list[tuple]]]:
-        """Places in the text whose words, without those at the names, have the hash of windows; and these."""
-        keys = whole
-        for k in self.places:
-            keys = keys - parts[k]
-        at = np.nonzero(self.bits[keys >> self.shift])[0]
-        own = keys[at]
-        fits = self.keys[np.minimum(np.searchsorted(self.keys, own), len(self.keys) - 1)] == own
-        return ((i, self.by_hash[h]) for i, h in zip(at[fits].tolist(), own[fits].tolist(), strict=True))
+    def find(self, stretches: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places of stretches and the windows that have them for anchor, in blocks."""
+        at = np.nonzero(self.bits[stretches >> self.shift])[0]
+        own = stretches[at]
+        key = np.minimum(np.searchsorted(self.keys, own), len(self.keys) - 1)
+        fits = self.keys[key] == own
+        at, key = at[fits], key[fits]
+        ends = np.cumsum(self.count[key])
+        for lo in range(0, int(ends[-1]) if len(ends) else 0, _PAIRS):
+            pair = np.arange(lo, min(lo + _PAIRS, int(ends[-1])))
+            of = np.searchsorted(ends, pair, "right")
+            yield at[of], self.windows[self.first[key[of]] + pair - (ends[of] - self.count[key[of]])]
 
 
 class _Windows:
-    """Windows of a benchmark block, looked up by the hash of all words but the names, then word by word and slot by slot.
+    """Windows of a benchmark block, looked up by their anchors, then by the hash of all words but the names, then word by
+    word and slot by slot.
 
     What a document has in the place of a name is read by the window, so case and line breaks of the copy do not matter.
     """
 
     def __init__(self, rows: list, known: Set[str]):
         self.known = known
-        groups: dict[tuple[int, tuple[int, ...]], list] = {}
-        for r in rows:
-            groups.setdefault((r["width"], tuple(k for k, s in enumerate(r["slots"]) if s.startswith(_NAME))), []).append(r)
-        self.by_width: dict[int, list[_Places]] = {}
-        for (width, places), own in sorted(groups.items()):
-            self.by_width.setdefault(width, []).append(_Places(own, places))
+        self.words = [[w & _MASK for w in r["words"]] for r in rows]
+        self.slots, self.items = [r["slots"] for r in rows], [r["item"] for r in rows]
+        self.hash = np.array([r["hash"] & _MASK for r in rows], np.uint64)
+        self.width = np.array([r["width"] for r in rows], np.int64)
+        self.named = np.zeros((len(rows), max((r["width"] for r in rows), default=1)), np.bool_)
+        self.offset = np.zeros(len(rows), np.int64)
+        groups: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        for k, (slots, words) in enumerate(zip(self.slots, self.words, strict=True)):
+            at, length, run = 0, 0, 0
+            for i, slot in enumerate(slots):
+                self.named[k, i] = slot.startswith(_NAME)
+                run = 0 if self.named[k, i] else run + 1
+                if run > length:
+                    at, length = i + 1 - run, run
+            self.offset[k] = at
+            stretch = window_hashes(np.array(words[at : at + length], np.uint64), length)
+            groups.setdefault((length, len(slots)), []).append((int(stretch[0]), k))
+        self.groups = {key: _Anchors(own) for key, own in sorted(groups.items())}
 
     def hits(self, texts: list[str | None], forms: _Forms) -> list[tuple[int, object]]:
         """For each text the number of its windows that are benchmark windows, and the smallest item of these."""
         out: list[tuple[int, object]] = []
-        rows: list[tuple] = []
-        ends: list[int] = []
+        pieces: list[np.ndarray] = []
+        first = n = 0
         for i, text in enumerate(texts):
-            rows += [r for r in map(forms.__getitem__, (text or "").split()) if r[1] >= 0]
-            ends.append(len(rows))
-            if len(rows) >= _CHUNK or i == len(texts) - 1:
-                out += self._hits(rows, np.array(ends))
-                rows, ends = [], []
+            split = (text or "").split()
+            pieces.append(np.fromiter(map(forms.__getitem__, split), np.int64, len(split)))
+            n += len(split)
+            if n >= _CHUNK or i == len(texts) - 1:
+                out += self._hits(pieces, texts[first : i + 1], forms)
+                pieces, first, n = [], i + 1, 0
+                if len(forms) >= _CACHE:
+                    forms.clear()
         return out
 
-    def _hits(self, rows: list[tuple], ends: np.ndarray) -> list[tuple[int, object]]:
-        words = np.fromiter((r[0] for r in rows), np.uint64, len(rows))
+    def _hits(self, pieces: list[np.ndarray], texts: list[str | None], forms: _Forms) -> list[tuple[int, object]]:
+        pieces = [p[forms.kind[p] != _NOTHING] for p in pieces]
+        ends = np.cumsum([len(p) for p in pieces])
+        ids = np.concatenate(pieces)
+        words = forms.digest[ids]
+        inner = np.ones(len(ids) + 1, np.bool_)  # places that do not begin a text
+        inner[0] = inner[ends] = False
+        spelled = np.nonzero(forms.kind[ids] == _SPELLED)[0]
+        for row in np.split(spelled, np.nonzero((np.diff(spelled) > 1) | ~inner[spelled[1:]])[0] + 1):
+            if len(row) < 3:
+                words[row] = np.uint64(_HASH[_NUM])
         inches = np.nonzero(words[1:] == np.uint64(_HASH["in"]))[0] + 1
-        inches = inches[(words[inches - 1] == np.uint64(_HASH[_NUM])) & ~np.isin(inches, ends)]
-        words[inches] = np.uint64(_HASH[_UNIT])
-        for i in inches.tolist():
-            rows[i] = (_HASH[_UNIT], 1, _UNIT + "in", rows[i][3], False)
+        inches = inches[(words[inches - 1] == np.uint64(_HASH[_NUM])) & inner[inches] & (forms.kind[ids[inches]] == _WORD)]
+        words[inches], ids[inches] = np.uint64(_HASH[_UNIT]), 0
         counts, items = [0] * len(ends), [[] for _ in ends]
-        for width, groups in self.by_width.items():
-            whole = window_hashes(words, width)
-            parts = {k: words[k : k + len(whole)] * np.uint64(pow(_BASE, width - 1 - k, 1 << 64)) for g in groups for k in g.places}
-            found: dict[int, list] = {}
-            for group in groups:
-                for at, windows in group.find(whole, parts):
-                    same = [item for ws, ss, item in windows if self._fits(ws, ss, rows[at : at + width])]
-                    if same:
-                        found.setdefault(at, []).extend(same)
-            for at, same in found.items():
-                doc = int(np.searchsorted(ends, at, "right"))
-                if at + width <= ends[doc]:
-                    counts[doc] += 1
-                    items[doc] += [x for x in same if x is not None]
+        found: dict[tuple[int, int], list] = {}
+        stretches, reach = words, 1
+        for (length, width), anchors in self.groups.items():
+            while reach < length:
+                stretches, reach = stretches[:-1] * np.uint64(_BASE) + words[reach:], reach + 1
+            for place, window in anchors.find(stretches):
+                place = place - self.offset[window]
+                inside = (place >= 0) & (place + width <= len(words))
+                place, window = place[inside], window[inside]
+                left = np.zeros(len(place), np.uint64)
+                for k in range(width):
+                    left = left * np.uint64(_BASE) + np.where(self.named[window, k], np.uint64(0), words[place + k])
+                same = left == self.hash[window]
+                for at, k in zip(place[same].tolist(), window[same].tolist(), strict=True):
+                    if self._fits(k, words[at : at + width].tolist(), [forms.form[i] for i in ids[at : at + width].tolist()]):
+                        found.setdefault((at, width), []).append(self.items[k])
+        lines: dict[int, set[tuple[int, int]]] = {}
+        for (at, width), same in found.items():
+            doc = int(np.searchsorted(ends, at, "right"))
+            if at + width > ends[doc]:
+                continue
+            if width < SHORT:
+                begin = int(ends[doc]) - len(pieces[doc])
+                if doc not in lines:
+                    lines[doc] = set(_lines(texts[doc], forms))
+                if (at - begin, at - begin + width) not in lines[doc]:
+                    continue
+            counts[doc] += 1
+            items[doc] += [x for x in same if x is not None]
         return [(n, min(i, default=None)) for n, i in zip(counts, items, strict=True)]
 
-    def _fits(self, ws: list[int], ss: list[str], rows: list[tuple]) -> bool:
+    def _fits(self, window: int, digests: list[int], forms: list[tuple]) -> bool:
         """Whether the words of a text are those of a window but for the slots, and its slots map one to one.
 
         A name may be replaced by a capitalised word or one the benchmark knows as a name; in a text without capitals by
-        any word, if four fifths of the window are equal.
+        any word, if four fifths of the window are equal. In a window of fewer than ``SHORT`` words the slots are equal.
         """
+        ss = self.slots[window]
         theirs: list[str] = []
         changed = other = 0
-        for w, s, (digest, kind, value, _, capital) in zip(ws, ss, rows, strict=True):
+        for w, s, digest, (_, kind, value, _, capital) in zip(self.words[window], ss, digests, forms, strict=True):
+            slot = digest in (_HASH[_NUM], _HASH[_UNIT])
             if s.startswith(_NAME):
-                if kind == 1:
+                if slot or kind == _SPELLED:
                     return False
                 theirs.append(_NAME + value)
                 if theirs[-1] != s:
@@ -249,12 +359,23 @@ class _Windows:
             elif w != digest:
                 return False
             else:
-                theirs.append(value if kind == 1 else "")
-        if other and (5 * changed > len(ss) or any(r[4] for r in rows)):
+                theirs.append(value if slot else "")
+        if len(ss) < SHORT:
+            return theirs == ss
+        if other and (5 * changed > len(ss) or any(f[4] for f in forms)):
             return False
         return consistent(ss, theirs)
 
 
+def _lines(text: str | None, forms: _Forms) -> Iterator[tuple[int, int]]:
+    """First word and end of each line of a text, in words that are kept."""
+    at = 0
+    for line in (text or "").split("\n"):
+        n = sum(forms.form[forms[piece]][1] != _NOTHING for piece in line.split())
+        yield at, at + n
+        at += n
+
+
 def with_hits(
     docs: DataFrame, benchmark: DataFrame, scratch: Scratch, text: str = "text", item: str = "item_id",
     benchmark_text: str = "text", width: int = 10, block: int = 200_000, names: tuple[str, str] = ("hits", "item"),
@@ -267,7 +388,8 @@ def with_hits(
     share nor a very long text gathers anywhere. Null and empty texts have no hits, repeated rows are judged one by one,
     columns named like a result are replaced. An empty benchmark leaves 0 hits.
     """
-    kind = benchmark.schema[item].dataType.simpleString()
+    item_type = benchmark.schema[item].dataType
+    kind = item_type.simpleString()
     known = frozenset(r["name"] for r in benchmark_names(benchmark, benchmark_text).collect())
     found = scratch.table(benchmark_windows(benchmark, item, benchmark_text, width, known=known))
     blocks = max(1, -(-found.count() // block))
@@ -280,13 +402,9 @@ def with_hits(
 
         def make(texts, sent=sent):
             pairs = sent.value.hits(texts, _FORMS)
-            return [pa.array([n for n, _ in pairs], pa.int64()), pa.array([i for _, i in pairs], _arrow(kind))]
+            return [pa.array([n for n, _ in pairs], pa.int64()), pa.array([i for _, i in pairs], to_arrow_type(item_type))]
 
         step = append_columns(out, text, {own_hits: "bigint", own_first: kind}, make)
         step = step.withColumns({hits: F.col(hits) + F.col(own_hits), first: F.least(first, own_first)})
         out = step.drop(own_hits, own_first)
     return out
-
-
-def _arrow(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]

@@ -86,3 +86,60 @@ def test_in_is_a_unit_after_a_number_only(spark, scratch):
     items = [(1, "they live in the small town by the sea and 5 in of rain fell")]
     got = hits(spark, scratch, ["they live km the small town by the sea and", "town by the sea and 7 cm of rain fell"], items)
     assert got == {0: (0, None), 1: (1, 1)}
+
+
+def test_spelled_numbers_are_numbers(spark, scratch):
+    items = [(1, "if five hens lay 25 eggs in a day then how many eggs do they lay")]
+    texts = [
+        "if 5 hens lay twenty-five eggs in a day then how many eggs do they lay",
+        "if seven hens lay 30 eggs in a day then how many eggs do they lay",
+        "if one two three hens lay 25 eggs in a day then how many eggs",
+    ]
+    got = hits(spark, scratch, texts, items)
+    assert got[0] == got[1] == (7, 1)
+    assert got[2][0] == 2  # the windows from "hens" and from "lay" on
+
+
+def test_short_items_are_whole_lines(spark, scratch):
+    items = [(4, "Add 17 and 25"), (6, "Who was Ada?"), (7, "too short")]
+    texts = ["Add 17 and 25", "First.\nadd 17 and 25.\nThen rest.", "so add 17 and 25", "add 17 and 26", "add\n17 and 25", "Who was Eve?", "who was ada", "too short"]
+    got = hits(spark, scratch, texts, items)
+    assert [got[k] for k in range(8)] == [(1, 4), (1, 4), (0, None), (0, None), (0, None), (0, None), (1, 6), (0, None)]
+
+
+def test_lists_of_names_are_found_as_they_stand(spark, scratch):
+    names = "Ada Bea Cia Dea Eva Fea Gia Hea Ida Jea"
+    got = hits(spark, scratch, [f"by {names} and others", "by " + names.replace("Ida", "Zoe")], [(1, f"written by\n{names}")])
+    assert got[0][0] > 0 and got[1][0] <= 1
+
+
+def test_windows_against_every_window_of_every_text():
+    """The lookup by anchors against a comparison of all windows with all places, word by word."""
+    import random
+
+    draw = random.Random(5)
+    words = ["the", "red", "boat", "Anna", "Karl", "met", "7", "8", "km", "in", "two", "old"]
+    text = lambda n: " ".join(draw.choice(words) for _ in range(n))
+    known = frozenset({"anna", "karl"})
+    rows = []
+    for k in range(60):
+        digests, slots = dc.template(text(4), dc._FORMS, known)
+        if sum(not s.startswith((dc._NAME, dc._HEAD)) for s in slots) < 2:
+            slots = ["" if s.startswith((dc._NAME, dc._HEAD)) else s for s in slots]
+        own = [0 if s.startswith(dc._NAME) else d for d, s in zip(digests, slots, strict=True)]
+        own = [own[0], *own[1:], dc.template("hill", dc._FORMS)[0][0]]
+        slots = [*slots, ""]
+        rows.append({"hash": int(dc.window_hashes(dc.np.array(own, dc.np.uint64), 5)[0]), "width": 5, "item": k, "words": own, "slots": slots})
+    windows = dc._Windows(rows, known)
+    texts = [" ".join(text(4) + " hill" for _ in range(draw.randrange(1, 40))) for _ in range(200)]
+    want = []
+    for body in texts:
+        forms = [dc._FORMS.form[dc._FORMS[p]] for p in body.split()]
+        spelled = dc.counted([f[1] == dc._SPELLED for f in forms])
+        digests = [dc._HASH["<num>"] if s else f[0] for f, s in zip(forms, spelled, strict=True)]
+        for i in range(1, len(digests)):
+            if forms[i][2] == "in" and forms[i][1] == dc._WORD and digests[i - 1] == dc._HASH["<num>"]:
+                digests[i], forms[i] = dc._HASH["<unit>"], dc._FORMS.form[0]
+        pairs = {(at, k) for at in range(len(digests) - 4) for k in range(60) if windows._fits(k, digests[at : at + 5], forms[at : at + 5])}
+        want.append((len({at for at, _ in pairs}), min((k for _, k in pairs), default=None)))
+    assert windows.hits(texts, dc._FORMS) == want and sum(n for n, _ in want) > 100
