@@ -9,9 +9,11 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -204,33 +206,37 @@ def _join_classes(docs: DataFrame, text: str, number: dict[bytes, int], group: n
     sent = docs.sparkSession.sparkContext.broadcast({w: int(group[i]) for w, i in number.items()})
 
     def around(batches: Iterator[pa.RecordBatch]):
-        def flat(seen: Counter):
-            keys = list(seen)
+        get = sent.value.get
+        own: dict[bytes, int] = {}
+        held: list[np.ndarray] = []
+        size = 0
+
+        def flat():
+            codes, n = np.unique(np.concatenate(held), return_counts=True)
+            word, codes = np.divmod(codes, classes * classes)
+            names = pa.array(list(own), pa.binary()).take(pa.array(word))
             return pa.RecordBatch.from_arrays([
-                pa.array([k[0] for k in keys], pa.binary()), pa.array([k[1] for k in keys], pa.int16()), pa.array([k[2] for k in keys], pa.int16()),
-                pa.array(list(seen.values()), pa.int64()),
+                names, pa.array((codes // classes).astype(np.int16)), pa.array((codes % classes).astype(np.int16)), pa.array(n.astype(np.int64)),
             ], names=["word", "before", "after", "n"])
 
-        get = sent.value.get
-        seen: Counter = Counter()
         for batch in batches:
             for body in batch.column(0).to_pylist():
-                before, waiting = 0, []
-                for word in words(body):
-                    cls = get(word)
-                    if cls is None:
-                        waiting.append(word)
-                    else:
-                        for w in waiting:
-                            seen[w, before, cls] += 1
-                        before, waiting = cls, []
-                for w in waiting:
-                    seen[w, before, 0] += 1
-                if len(seen) > _FLUSH:
-                    yield flat(seen)
-                    seen = Counter()
-        if seen:
-            yield flat(seen)
+                tokens = words(body)
+                cls = np.fromiter((get(w, -1) for w in tokens), np.int64, len(tokens))
+                at = np.nonzero(cls < 0)[0]
+                if not len(at):
+                    continue
+                core = np.nonzero(cls >= 0)[0]
+                near = np.concatenate([[0], cls[core], [0]])  # the end of a text before and after it
+                left = np.searchsorted(core, at)
+                word = np.fromiter((own.setdefault(tokens[i], len(own)) for i in at.tolist()), np.int64, len(at))
+                held.append((word * classes + near[left]) * classes + near[left + 1])
+                size += len(at)
+                if size > 4 * _FLUSH or 2 * len(own) > _FLUSH:
+                    yield flat()
+                    own, held, size = {}, [], 0
+        if held:
+            yield flat()
 
     smooth = table + 0.5
     came = np.log(smooth / smooth.sum(axis=1, keepdims=True))  # log P(class | before)
@@ -238,37 +244,41 @@ def _join_classes(docs: DataFrame, text: str, number: dict[bytes, int], group: n
 
     def assign(batches: Iterator[pa.RecordBatch]):
         flow = np.zeros((classes, classes))
-        held: tuple[list, ...] = ([], [], [], [])
-
-        def settle(columns, whole):
-            """Words complete so far; the last word of a batch may go on in the next one."""
-            names, before, after, n = columns
-            cuts = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1])] if names else []
-            upto = len(names) if whole or not cuts else cuts[-1]
-            rest = tuple(c[upto:] for c in columns)
-            cuts = [c for c in cuts if c < upto]
-            if not cuts:
-                return None, rest
-            before, after, n = np.array(before[:upto]), np.array(after[:upto]), np.array(n[:upto], float)
+        held = None
+
+        def settle(rows: pa.Table, whole: bool):
+            """Words complete so far, and the rows of the last word, which may go on in the next batch."""
+            names, (before, after, n) = rows.column("word"), (rows.column(c).to_numpy() for c in ("before", "after", "n"))
+            new = pc.not_equal(names.slice(1), names.slice(0, len(names) - 1)).to_numpy()
+            cuts = np.nonzero(np.concatenate([[True], new]))[0]
+            upto = len(names) if whole else int(cuts[-1])
+            cuts = cuts[cuts < upto]
+            if not len(cuts):
+                return None, rows
+            before, after, n = before[:upto].astype(np.int64), after[:upto], n[:upto].astype(float)
             best, counts = np.zeros(len(cuts), np.int64), np.add.reduceat(n, cuts)
-            edges = [*cuts, upto]
+            edges = np.append(cuts, upto)
             for low in range(0, len(cuts), 1 << 15):
                 high = min(len(cuts), low + (1 << 15))
                 a, b = edges[low], edges[high]
                 fit = (came[before[a:b]] + goes[after[a:b]]) * n[a:b, None]
-                sums = np.add.reduceat(fit, np.array(cuts[low:high]) - a, axis=0)
+                sums = np.add.reduceat(fit, cuts[low:high] - a, axis=0)
                 sums[:, 0] = -np.inf
                 best[low:high] = sums.argmax(axis=1)
-            np.add.at(flow, (before, np.repeat(best, np.diff(edges))), n)
-            return ([names[c] for c in cuts], counts, best), rest
-
-        for batch in [*batches, None]:
-            if batch is not None:
-                held = tuple(h + batch.column(i).to_pylist() for i, h in enumerate(held))
-            done, held = settle(held, batch is None)
+            into = np.repeat(best, np.diff(edges))
+            flow[:] += np.bincount(before * classes + into, n, classes * classes).reshape(classes, classes)
+            return (names.take(pa.array(cuts)).combine_chunks(), counts, best), rows.slice(upto)
+
+        for batch in chain(batches, [None]):
+            parts = [held] if held is not None else []
+            if batch is not None and batch.num_rows:
+                parts.append(pa.Table.from_batches([batch]))
+            if not parts:
+                continue
+            done, held = settle(pa.concat_tables(parts), batch is None)
             if done:
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(done[0], pa.binary()), pa.array(done[1].astype(np.int64)), pa.array(done[2].astype(np.int16)), pa.nulls(len(done[0]), pa.binary()),
+                    done[0], pa.array(done[1].astype(np.int64)), pa.array(done[2].astype(np.int16)), pa.nulls(len(done[0]), pa.binary()),
                 ], names=["word", "n", "group", "flow"])
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int16()), pa.array([flow.tobytes()], pa.binary())], names=["word", "n", "group", "flow"])
 
