@@ -189,15 +189,17 @@ def describe_scores(df: DataFrame, columns: list[str]) -> DataFrame:
 def char_entropy(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, entropy): Shannon entropy in bits of the characters of each text, 0 for an empty one.
 
-    Counted within the row, by what the text loses in length without a character; nothing is shuffled.
+    Counted within the row, as runs of equal characters in sorted order; nothing is shuffled, and the work grows with the
+    length of the text, however many different characters it has.
     """
     step = df.select(key, text_or_empty(F.col(text)).alias("_text"))
-    letters = F.filter(F.array_distinct(F.split("_text", "")), lambda ch: ch != "")
     total = F.length("_text").cast("double")
+    ordered = F.array_join(F.array_sort(F.split("_text", "")), "")
+    runs = F.regexp_extract_all(ordered, F.lit(r"(?s)((.)\2*+)"), F.lit(1))
 
-    def add(bits: Column, ch: Column) -> Column:
-        n = total - F.length(F.replace(F.col("_text"), ch, F.lit(""))).cast("double")
+    def add(bits: Column, run: Column) -> Column:
+        n = F.length(run).cast("double")
         return bits + n * F.log2(n)
 
-    bits = F.log2(total) - F.aggregate(letters, F.lit(0.0), add) / total
+    bits = F.log2(total) - F.aggregate(runs, F.lit(0.0), add) / total
     return step.select(key, F.when(total > 0, bits).otherwise(F.lit(0.0)).alias("entropy"))

@@ -99,3 +99,22 @@ def test_thresholds(spark):
     df = spark.createDataFrame([(0, 0.5), (1, 0.4999), (2, 0.7)], "i int, s double")
     assert values(df, L.threshold_label(F.col("s"))) == [1, 0, 1]
     assert values(df, L.argmax_label(1 - F.col("s"), F.col("s"))) == [0, 0, 1]
+
+
+def test_entropy_of_long_texts_and_rare_characters(spark):
+    letters = [chr(0x4E00 + i) for i in range(5000)]
+    rows = [
+        " ".join(letters[i % 5000] + "ab" for i in range(20000)),  # 5,001 different characters besides a and b
+        "\U0001f600\U0001f601\U0001f600x\n\n\r \u2028",
+        "a" * 100_000,
+        "$.*\\2($1)",
+    ]
+
+    def plain(text):
+        return -sum(n / len(text) * math.log2(n / len(text)) for n in Counter(text).values())
+
+    found = char_entropy(column(spark, rows), "i", "s")
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {r["i"]: r["entropy"] for r in found.collect()}
+    assert len(got) == len(rows)
+    assert all(math.isclose(got[i], plain(t), abs_tol=1e-9) for i, t in enumerate(rows))
