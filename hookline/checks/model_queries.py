@@ -161,14 +161,18 @@ _COMPONENTS = f"least({SV.N_COMPONENTS}, (SELECT count(*) FROM vocabulary))"
     "TRUE AS within_total",
 )
 def svd_fit(spark, sf):
-    """Each singular value with what makes it one: order, residual of A'A v = s^2 v, orthogonality, and the sum of squares."""
+    """Each singular value with what makes it one: order, orthogonality, the sum of squares, and A'A v = s^2 v.
+
+    The residual is held against the own s^2 of the component: within 1e-3 for the first quarter, 0.25 for all; values
+    that are 0 but for rounding against the largest.
+    """
     model = _svd(spark, sf)
     rows = _tfidf(spark, sf).weights(_train_urls(spark, sf), "url_id", "url")
-    v, squares = model.factors.astype(np.float64), model.singular_values**2
-    residual = np.linalg.norm(SV._gram_times(rows, v) - v * squares, axis=0)
-    apart = np.abs(v.T @ v - np.eye(v.shape[1])).max(axis=0)
+    squares = model.singular_values**2
+    residual, apart = SV.pair_errors(model, rows)
+    bound = [max((1e-3 if i < len(squares) / 4 else 0.25) * s, 1e-9 * squares[0]) for i, s in enumerate(squares)]
     table = [
-        (i, bool(i == 0 or squares[i] <= squares[i - 1] + 1e-9), bool(residual[i] <= 0.05 * squares[0]), bool(apart[i] < 1e-3), bool(squares.sum() <= rows.count() + 1e-6))
+        (i, bool(i == 0 or squares[i] <= squares[i - 1] + 1e-9), bool(residual[i] <= bound[i]), bool(apart[i] < 1e-8), bool(squares.sum() <= rows.count() + 1e-6))
         for i in range(len(squares))
     ]
     return spark.createDataFrame(table, "component bigint, descending boolean, solves boolean, orthogonal boolean, within_total boolean")

@@ -109,11 +109,44 @@ def test_svd_matches_dense_svd(spark, fitted, tmp_path):
     np.testing.assert_allclose(SV.SvdModel.load(spark, str(tmp_path / "svd")).factors, svd.factors)
 
 
-def test_svd_refuses_a_block_that_is_too_large(spark, fitted, monkeypatch):
+def test_svd_of_a_block_that_is_not_sent_out(spark, fitted, monkeypatch):
+    """Cut into ranges of seven terms, the block gives the values, vectors and projections of the dense matrix."""
     _, model, weights = fitted
-    monkeypatch.setattr(SV, "MAX_BLOCK_BYTES", 10)
-    with pytest.raises(ValueError):
-        SV.fit_svd(model, weights, components=5)
+    small = SV.fit_svd(model, weights, components=5)
+    monkeypatch.setattr(SV, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(SV, "RANGE_BYTES", 8 * 15 * 7)
+    weights = weights.withColumn("_svd_note", F.lit("kept"))
+    cut = SV.fit_svd(model, weights, components=5)
+    np.testing.assert_allclose(cut.singular_values, small.singular_values, rtol=1e-9)
+    projected = cut.transform(weights)
+    plan = projected._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan and {"_svd_note", "svd"} <= set(projected.columns)
+    matrix, got = dense(model, weights), {r["id"]: r["svd"] for r in projected.collect()}
+    assert len(got) == len(URLS)
+    for i in range(len(URLS)):
+        np.testing.assert_allclose(got[i], matrix[i] @ cut.factors, atol=1e-5)
+
+
+@pytest.mark.parametrize("whole", [True, False])
+def test_svd_of_fewer_rows_than_components(spark, fitted, monkeypatch, whole):
+    """Values beyond the rank are 0, their vectors are still at right angles; each pair solves its equation."""
+    _, model, weights = fitted
+    few = weights.where("id < 6")
+    if not whole:
+        monkeypatch.setattr(SV, "BROADCAST_BYTES", 0)
+        monkeypatch.setattr(SV, "RANGE_BYTES", 8 * 20 * 9)
+    svd = SV.fit_svd(model, few, components=20)
+    want = np.linalg.svd(dense(model, few), compute_uv=False)[:6]
+    np.testing.assert_allclose(svd.singular_values[:6], want, atol=1e-6)
+    assert svd.components == 20 and svd.singular_values[6:].max() < 1e-6
+    residual, apart = SV.pair_errors(svd, few)
+    assert residual.max() < 1e-6 and apart.max() < 1e-8
+
+
+def test_svd_of_no_rows(spark, fitted):
+    _, model, weights = fitted
+    svd = SV.fit_svd(model, weights.where("id < 0"), components=3)
+    assert svd.singular_values.max() == 0 and SV.pair_errors(svd, weights.where("id < 0"))[1].max() < 1e-8
 
 
 @pytest.fixture(scope="module")
