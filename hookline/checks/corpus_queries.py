@@ -63,6 +63,15 @@ def src_csv(spark, sf):
     return readers.read_csv(spark, _mail_csv(spark, sf)).select("id", "subject", "body", "label")
 
 
+@query("src_csv_split", D.ctes("emails") + "SELECT CAST(id AS VARCHAR) AS id, subject, body, label, FALSE AS malformed FROM emails")
+def src_csv_split(spark, sf):
+    """The same rows from files cut into blocks, as large files are."""
+    path = scratch_path(spark, "mails")
+    writers.write_table(views.emails(spark, sf).select("id", "subject", "body", "label").coalesce(1), path, "csv")
+    (table,) = readers.by_header(spark, [path], large=0)
+    return table.select("id", "subject", "body", "label", F.col("_malformed").isNotNull().alias("malformed"))
+
+
 def _curated_folder(spark, sf):
     """Three folders of CSV files with different columns; one to be skipped, one without a label."""
     base = scratch_path(spark, "curated")

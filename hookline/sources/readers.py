@@ -12,18 +12,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .columns import clean_headers
+from .split_csv import split_records
 
 log = logging.getLogger(__name__)
 
 _QUOTED = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 _BAD = "_malformed"
+LARGE_FILE = 512 << 20  # bytes from which one file is read by many tasks
 
 
 def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """CSV with a header, every column text, header names trimmed and lowered. Malformed rows are cut or padded.
 
-    Bodies hold line breaks, so a quoted field may span lines. Such a file is read by one task: large corpora
-    should come in many files, or with ``multi_line=False`` when no field spans lines.
+    Bodies hold line breaks, so a quoted field may span lines, and each file is read by one task here; ``by_header``
+    and ``read_many`` read large files by many tasks.
     """
     return clean_headers(spark.read.csv(path, header=True, multiLine=multi_line, mode="PERMISSIVE", **_QUOTED))
 
@@ -47,28 +49,35 @@ def _stem(path: Column) -> Column:
     return F.url_decode(F.replace(F.when(folder != "", folder).otherwise(own), F.lit("+"), F.lit("%2B")))
 
 
-def by_header(spark: SparkSession, paths: list[str], multi_line: bool = True) -> list[DataFrame]:
+def by_header(spark: SparkSession, paths: list[str], multi_line: bool = True, large: int = LARGE_FILE) -> list[DataFrame]:
     """One table for each distinct header among the files: text columns, ``source_file`` (the file's stem) and
     ``_malformed`` (the raw text of a row with too few or too many fields, else null).
 
     All first lines are read in one job, whatever the number of files; a table then reads all files of its header.
+    With ``multi_line``, files of more than ``large`` bytes are cut into records by many tasks (``split_csv``).
     """
     paths = _existing(spark, paths)
     if not paths:
         return []
-    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"))
-    first = lines.where("at = 0").withColumn("line", F.monotonically_increasing_id()).groupBy("path").agg(F.min_by("value", "line").alias("header"))
-    groups: dict[tuple[str, ...], list[str]] = defaultdict(list)
+    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), F.col("_metadata.file_size").alias("bytes"))
+    first = lines.where("at = 0").withColumn("line", F.monotonically_increasing_id()).groupBy("path").agg(F.min_by("value", "line").alias("header"), F.max("bytes").alias("bytes"))
+    groups: dict[tuple[tuple[str, ...], bool], list[str]] = defaultdict(list)
     for row in first.collect():  # a line for each file
         names = next(csv.reader([row["header"].removeprefix("\ufeff")]), [])
-        groups[tuple(n.strip().lower() for n in names)].append(unquote(row["path"]))
+        groups[tuple(n.strip().lower() for n in names), multi_line and row["bytes"] > large].append(unquote(row["path"]))
     tables = []
-    for names, files in sorted(groups.items()):
+    for (names, split), files in sorted(groups.items()):
         schema = ", ".join([*(f"c{i} string" for i in range(len(names))), f"{_BAD} string"])
-        df = spark.read.csv(
-            sorted(files), schema=schema, header=True, multiLine=multi_line, mode="PERMISSIVE", columnNameOfCorruptRecord=_BAD, **_QUOTED
-        )
-        df = df.withColumn("source_file", _stem(F.col("_metadata.file_path")))
+        if split:
+            options = {k: str(v).lower() for k, v in _QUOTED.items()} | {"multiLine": "true", "columnNameOfCorruptRecord": _BAD}
+            fields = F.from_csv("record", schema, {**options, "mode": "PERMISSIVE"})
+            df = split_records(spark, sorted(files)).select(fields.alias("r"), _stem(F.col("path")).alias("source_file"))
+            df = df.select("r.*", "source_file")
+        else:
+            df = spark.read.csv(
+                sorted(files), schema=schema, header=True, multiLine=multi_line, mode="PERMISSIVE", columnNameOfCorruptRecord=_BAD, **_QUOTED
+            )
+            df = df.withColumn("source_file", _stem(F.col("_metadata.file_path")))
         tables.append(df.toDF(*names, _BAD, "source_file"))
     return tables
 
