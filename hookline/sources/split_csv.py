@@ -60,9 +60,10 @@ def split_records(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(path, at, place, record): the text of every record but the header of each file, quoted line breaks kept as
     they are. Lines end in LF or CRLF; empty lines are no records; an open quote at the end of a file ends there.
 
-    ``at`` and ``place`` order the records of a file. The lines are written once. One shuffle brings the lines of a
-    block together, in order; records on one line then stay where they are, and only those on several lines, or at
-    the edge of a block, are put together by a second one.
+    ``at`` and ``place`` order the records of a file. The lines are written twice, and twice a shuffle brings the lines
+    of a block together, in order. Records on one line then stay where they are; only those on several lines, or at the
+    edge of a block, are put together by a third one. A quote that is never closed makes the rest of its file one
+    record, which must fit into a cell (2 GB), as with Spark's reader.
     """
     text = spark.read.text(paths, lineSep="\n").select(
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"),
