@@ -3,6 +3,8 @@
 from pyspark.sql.classic.dataframe import DataFrame
 
 from hookline.checks import model_queries as Q
+from hookline.operators import boosting as B
+from hookline.session import Scratch
 
 
 def pages(spark, path, n=60):
@@ -17,3 +19,18 @@ def test_svd_fit_counts_its_rows_once(spark, tmp_path, monkeypatch):
     rows = Q.svd_fit(spark, pages(spark, tmp_path)).collect()
     assert len(rows) > 20 and all(r.solves and r.within_total for r in rows)
     assert len(counted) < 12
+
+
+def test_trees_of_a_small_table_take_a_job_for_many(spark, monkeypatch):
+    df = spark.createDataFrame([([float(i % 7), float(i % 5)], int(i % 7 > 3) ^ int(i % 11 == 0)) for i in range(200)], "x array<double>, y int").repartition(3)
+    s = B.Boosting(trees=8, depth=4, step=0.3)
+    cuts = B.feature_cuts(df, "x", 2, 256)
+    levels, plain = [], B._level
+    monkeypatch.setattr(B, "_level", lambda *a: levels.append(a) or plain(*a))
+    one = B.grow(df, "x", "y", cuts, s, Scratch(spark, "one"))
+    assert not levels
+    monkeypatch.setattr(B, "_TASK", 64)  # rows in many tasks, whatever the layout of the table
+    many = B.grow(df.coalesce(1), "x", "y", cuts, B.Boosting(trees=8, depth=4, step=0.3, rows=1.0), Scratch(spark, "many"))
+    monkeypatch.setattr(B, "_TASK", 1 << 24)
+    alone = B.grow(df.coalesce(1), "x", "y", cuts, B.Boosting(trees=8, depth=4, step=0.3, rows=1.0), Scratch(spark, "alone"))
+    assert levels and many == alone and len(one) == 8 and any(len(t.feature) > 3 for t in one)
