@@ -13,8 +13,9 @@ def fold_is(id: str, folds: int, held: int) -> Column:
     return F.coalesce(F.crc32(F.col(id).cast("string")) % folds == held, F.lit(False))
 
 
-def labelled_sample(labels: DataFrame, id: str, label: str, folds: int, held: int, most: int) -> DataFrame:
-    """(id, label, weight): at most ``most`` rows of each label 0 and 1 outside the held-out fold, drawn by a hash of the id.
+def labelled_sample(labels: DataFrame, id: str, label: str, folds: int, held: int, most: int | None) -> DataFrame:
+    """(id, label, weight): at most ``most`` rows of each label 0 and 1 outside the held-out fold, drawn by a hash of the id;
+    all of them if ``most`` is None.
 
     Labels that are null or not 0 or 1 are left out; an id that occurs again counts once, as 1 if any row says 1.
     ``weight`` is the number of labelled rows a drawn row stands for.
@@ -23,6 +24,8 @@ def labelled_sample(labels: DataFrame, id: str, label: str, folds: int, held: in
         labels.where(F.col(label).isin(0, 1) & F.col(id).isNotNull() & ~fold_is(id, folds, held))
         .groupBy(F.col(id).alias("id")).agg(F.max(label).cast("int").alias("label"))
     )
+    if most is None:
+        return rows.withColumn("weight", F.lit(1.0))
     totals = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     drawn = [
         rows.where(F.col("label") == k).orderBy(F.xxhash64("id", F.lit("sample")), "id").limit(most)

@@ -13,6 +13,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ordered import sequence_id
 from ..session import Scratch
 from .frames import append_columns
 from .labelled import fold_is, labelled_sample, logit
@@ -65,51 +66,50 @@ class Ranker:
     weights: tuple[float, ...]
     cut: float
 
+    def value(self, x: str = "x"):
+        return sum((F.col(x)[i] * F.lit(w) for i, w in enumerate(self.weights)), F.lit(0.0))
+
     def score(self, x: str = "x"):
         """P(label 1) as a column: the chance to be preferred to the document at the cut, moved so that the cut is at 0.7."""
-        value = sum((F.col(x)[i] * F.lit(w) for i, w in enumerate(self.weights)), F.lit(0.0))
-        return 1 / (1 + F.exp(-(value - F.lit(self.cut) + F.lit(logit(0.7)))))
+        return 1 / (1 + F.exp(-(self.value(x) - F.lit(self.cut) + F.lit(logit(0.7)))))
 
 
 def fit_ranker(
     rows: DataFrame, labels: DataFrame, scratch: Scratch, id: str = "doc_id", x: str = "x", label: str = "quality",
-    folds: int = 4, held: int = 2, most: int = 6000, rivals: int = 8, penalty: float = 1e-5,
+    folds: int = 4, held: int = 2, rivals: int = 8, penalty: float = 1e-5,
 ) -> Ranker:
-    """The ranker learned from ``rows`` (id and features) with at most ``most`` labelled rows of either label.
+    """The ranker learned from ``rows`` (id and features) with all labelled rows outside the held-out fold.
 
-    Every drawn row of the rarer label meets about ``rivals`` times as many pairs as there are rows of the commoner one
+    Every row of the rarer label meets about ``rivals`` times as many pairs as there are rows of the commoner one
     over the rarer one would give one by one: rows are dealt to slots by hash and pairs are formed within a slot only.
     A pair is the difference of features of the preferred and the other document; logistic regression without
-    intercept on differences of both signs is the Bradley-Terry likelihood. The cut is the quantile of the drawn scores
+    intercept on differences of both signs is the Bradley-Terry likelihood. The cut is the exact quantile of the labelled rows' scores
     that leaves the share of label 1 above it. With one label only nothing can be learned and all scores are 0.7 or
     just below, as that label says; without labels they are just below.
     """
-    drawn = F.broadcast(labelled_sample(labels, id, label, folds, held, most))  # a few thousand ids
-    sample = scratch.table(rows.select(F.col(id).alias("id"), F.col(x).alias("x")).join(drawn, "id"))
-    sizes = {r["label"]: (r["count"], r["w"]) for r in sample.groupBy("label").agg(F.count("*").alias("count"), F.sum("weight").alias("w")).collect()}
+    labelled = labelled_sample(labels, id, label, folds, held, None).drop("weight")
+    learned = scratch.table(rows.select(F.col(id).alias("id"), F.col(x).alias("x")).join(labelled, "id"))
+    sizes = {r["label"]: r["count"] for r in learned.groupBy("label").count().collect()}
     if len(sizes) < 2:
         return Ranker((0.0,) * len(FEATURES), -1e-6 if 1 in sizes else 1e-6)
-    slots = max(1, math.ceil(max(n for n, _ in sizes.values()) / rivals))
+    slots = max(1, math.ceil(max(sizes.values()) / rivals))
     salt = F.explode(F.sequence(F.lit(0), F.lit(rivals - 1)))
-    good = sample.where("label = 1").select("x", F.col("id").alias("i"), salt.alias("r"))
+    good = learned.where("label = 1").select("x", F.col("id").alias("i"), salt.alias("r"))
     good = good.select("x", F.pmod(F.xxhash64("i", "r"), F.lit(slots)).alias("slot"))
-    bad = sample.where("label = 0").select(F.col("x").alias("y"), F.pmod(F.xxhash64("id", F.lit(-1)), F.lit(slots)).alias("slot"))
+    bad = learned.where("label = 0").select(F.col("x").alias("y"), F.pmod(F.xxhash64("id", F.lit(-1)), F.lit(slots)).alias("slot"))
     gap = F.zip_with("x", "y", lambda a, b: a - b)
-    pairs = good.join(bad, "slot").select(gap.alias("d"))
-    both = pairs.select("d", F.lit(1).alias("label")).unionByName(pairs.select(F.transform("d", lambda v: -v).alias("d"), F.lit(0).alias("label")))
-    both = scratch.table(both.select("label", array_to_vector("d").alias("d")))
-    if both.isEmpty():
+    pairs = scratch.table(good.join(bad, "slot").select(gap.alias("d")))
+    if pairs.isEmpty():
         return Ranker((0.0,) * len(FEATURES), 1e-6)
+    both = pairs.select(array_to_vector("d").alias("d"), F.lit(1).alias("label")).unionByName(
+        pairs.select(array_to_vector(F.transform("d", lambda v: -v)).alias("d"), F.lit(0).alias("label"))
+    )
     model = LogisticRegression(featuresCol="d", labelCol="label", fitIntercept=False, regParam=penalty, maxIter=60).fit(both)
     weights = np.array(model.coefficients.toArray())
-    values = sorted(((float(np.dot(weights, r["x"])), r["weight"]) for r in sample.toLocalIterator()), reverse=True)  # the bounded sample
-    wanted, above, cut = sizes[1][1], 0.0, values[-1][0]
-    for i, (value, weight) in enumerate(values):
-        above += weight
-        if above >= wanted:
-            cut = (value + values[i + 1][0]) / 2 if i + 1 < len(values) else value
-            break
-    return Ranker(tuple(float(w) for w in weights), float(cut))
+    ranker = Ranker(tuple(float(w) for w in weights), 0.0)
+    placed = sequence_id(learned.select((-ranker.value()).alias("low")), ["low"], "place")
+    edge = [-r["low"] for r in placed.where(F.col("place").isin(sizes[1], sizes[1] + 1)).orderBy("place").collect()]
+    return Ranker(ranker.weights, sum(edge) / len(edge))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, scratch: Scratch, id: str = "doc_id", text: str = "text", **settings) -> DataFrame:
