@@ -1,9 +1,15 @@
 """What queries do must grow with their rows only, not with rows times components, nor pass through one task."""
 
+import pytest
+from pyspark.sql import functions as F
 from pyspark.sql.classic.dataframe import DataFrame
 
+from hookline.checks import corpus_queries as C
 from hookline.checks import model_queries as Q
+from hookline.checks import views
+from hookline.functions.url_features import URL_FEATURES
 from hookline.operators import boosting as B
+from hookline.operators import url_model as UM
 from hookline.session import Scratch
 
 
@@ -34,3 +40,32 @@ def test_trees_of_a_small_table_take_a_job_for_many(spark, monkeypatch):
     monkeypatch.setattr(B, "_TASK", 1 << 24)
     alone = B.grow(df.coalesce(1), "x", "y", cuts, B.Boosting(trees=8, depth=4, step=0.3, rows=1.0), Scratch(spark, "alone"))
     assert levels and many == alone and len(one) == 8 and any(len(t.feature) > 3 for t in one)
+
+
+def test_learning_curve_equals_the_library_and_reads_once(spark, monkeypatch):
+    rows = [(i, *[float((i * (j + 3)) % 7) for j in range(len(URL_FEATURES))], int((i * 3) % 7 > 3)) for i in range(80)]
+    df = spark.createDataFrame(rows, "id bigint, " + ", ".join(f"`{c}` double" for c in URL_FEATURES) + ", label int").repartition(3)
+    model = UM.fit_url_model(df, trees=4, depth=3)
+    train, val = df.where("id < 60"), df.where("id >= 60")
+    trees = UM.boosted_trees(model)
+    want = [trees.evaluateEachIteration(UM.assemble(t).withColumn("label", F.col("label").cast("double"))) for t in (train, val)]
+    monkeypatch.setattr(type(trees), "evaluateEachIteration", None)
+    got = UM.learning_curve(model, train, val).collect()
+    assert [r["round"] for r in got] == [1, 2, 3, 4]
+    for name, values in zip(("train_log_loss", "val_log_loss"), want):
+        assert [r[name] for r in got] == pytest.approx([v / 2 for v in values])
+
+
+def test_mails_are_not_written_by_one_task(spark, sf, monkeypatch):
+    monkeypatch.setattr(DataFrame, "coalesce", lambda df, n: pytest.fail("all rows in one task"))
+    assert C.src_csv_split(spark, sf).count() == spark.read.parquet(f"{sf}/documents.parquet").count()
+    assert len(list(Q._arrivals(spark, sf))) == 5
+
+
+def test_texts_of_the_mails_meet_one_join(spark, sf):
+    def joins_with_texts(node):
+        children = [node.children().apply(i) for i in range(node.children().size())]
+        here = node.nodeName() == "Join" and any(node.children().apply(0).output().apply(i).name() == "text" for i in range(children[0].output().size()))
+        return here + sum(map(joins_with_texts, children))
+
+    assert joins_with_texts(views.emails(spark, sf)._jdf.queryExecution().optimizedPlan()) == 1
