@@ -9,6 +9,7 @@ from hookline.checks import model_queries as Q
 from hookline.checks import views
 from hookline.functions.url_features import URL_FEATURES
 from hookline.operators import boosting as B
+from hookline.operators import svd as SV
 from hookline.operators import url_model as UM
 from hookline.session import Scratch
 
@@ -69,3 +70,13 @@ def test_texts_of_the_mails_meet_one_join(spark, sf):
         return here + sum(map(joins_with_texts, children))
 
     assert joins_with_texts(views.emails(spark, sf)._jdf.queryExecution().optimizedPlan()) == 1
+
+
+def test_no_block_passes_through_the_driver(spark, tmp_path, monkeypatch):
+    collected, plain = [], DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda df: collected.append(df.columns) or plain(df))
+    monkeypatch.setattr(SV, "_collected", lambda *a: pytest.fail("a block on the driver"))
+    sf = pages(spark, tmp_path)
+    assert all(r.within_length for r in plain(Q.svd_transform(spark, sf)))
+    assert all(r.svd_within_length and r.n_features > 25 for r in plain(Q.jn_hstack(spark, sf)))
+    assert collected
