@@ -80,3 +80,13 @@ def test_no_block_passes_through_the_driver(spark, tmp_path, monkeypatch):
     assert all(r.within_length for r in plain(Q.svd_transform(spark, sf)))
     assert all(r.svd_within_length and r.n_features > 25 for r in plain(Q.jn_hstack(spark, sf)))
     assert collected
+
+
+def test_saved_matrix_is_read_by_its_cells(spark, tmp_path):
+    sf = pages(spark, tmp_path)
+    out = Q.snk_matrix(spark, sf)
+    assert "UDF(" not in out._jdf.queryExecution().analyzed().toString()  # no array with a number for each term
+    want = {r.url_id: r.indices for r in Q._tfidf(spark, sf).weights(views.urls(spark, sf), "url_id", "url").collect()}
+    got = {r.url_id: r for r in out.collect()}
+    assert len(got) == 60 and all(got[i].non_zeros == len(c) > 0 and got[i].places == sum(c) for i, c in want.items())
+    assert all(r.length == 1.0 for r in got.values())
