@@ -1,6 +1,7 @@
 """What queries do must grow with their rows only, not with rows times components, nor pass through one task."""
 
 import pytest
+from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 from pyspark.sql.classic.dataframe import DataFrame
 
@@ -10,6 +11,7 @@ from hookline.checks import views
 from hookline.functions.url_features import URL_FEATURES
 from hookline.operators import boosting as B
 from hookline.operators import svd as SV
+from hookline.operators import text_model as TM
 from hookline.operators import url_model as UM
 from hookline.session import Scratch
 
@@ -90,3 +92,25 @@ def test_saved_matrix_is_read_by_its_cells(spark, tmp_path):
     got = {r.url_id: r for r in out.collect()}
     assert len(got) == 60 and all(got[i].non_zeros == len(c) > 0 and got[i].places == sum(c) for i, c in want.items())
     assert all(r.length == 1.0 for r in got.values())
+
+
+def test_words_of_the_training_texts_are_counted_once(spark, sf, monkeypatch):
+    fitted, counted = [], []
+    for stage in (TM.IDF, TM.LogisticRegression):
+        monkeypatch.setattr(stage, "fit", lambda self, df, plain=stage.fit: fitted.append(df) or plain(self, df))
+    df = spark.createDataFrame([(f"pay now {i}" if i % 2 else f"see you {i}", i % 2) for i in range(40)], "text string, label int")
+    model = TM.fit_text_model(df, hash_size=64)
+    assert len(fitted) == 2 and not any("_words" in f._jdf.queryExecution().analyzed().toString() for f in fitted)
+    whole = Pipeline(stages=[
+        *model.stages[:2], TM.IDF(inputCol="_counts", outputCol="_weighted"),
+        TM.LogisticRegression(featuresCol="_weighted", labelCol="label", regParam=1e-3, maxIter=50),
+    ]).fit(df.withColumn("label", F.col("label").cast("double")))
+    got, want = ([r.text_probability for r in TM.score_text(m, df).orderBy("text").collect()] for m in (model, whole))
+    assert got == pytest.approx(want, abs=1e-6)
+
+
+def test_candidates_share_the_counted_words(spark, sf, monkeypatch):
+    counted, plain = [], TM.count_words
+    monkeypatch.setattr(Q, "_FITTED", {})
+    monkeypatch.setattr(TM, "count_words", lambda *a: counted.append(a) or plain(*a))
+    assert all(r.follows for r in Q.mdl_select_best(spark, sf).collect()) and len(counted) == 1
